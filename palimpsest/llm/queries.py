@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from palimpsest.llm.packing import pack
+from palimpsest.llm.quality import robust_outliers
 from palimpsest.llm.shared import shared_dir
 from palimpsest.llm.similarity import jaccard_components
 from palimpsest.llm.substrings import remove_repeats
 from palimpsest.llm.tokenfiles import token_digest, write_tokens
+from palimpsest.llm.toxicity import score_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), width=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op6_substring_dedup, op7_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_robust_outliers, op3_ngram_jaccard, op4_toxicity, op6_substring_dedup, op7_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
