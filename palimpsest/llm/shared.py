@@ -40,3 +40,34 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Bits of the bitmap of ids that is broadcast: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def flag_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """docs with a boolean column: true for every doc_id in ids (id), and for a few others.
+
+    The ids' hashes make a bitmap of fixed size, which is broadcast; no row is shuffled.
+    Where the ids outgrow the bitmap it only lets more rows through.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = (
+        ids.select(spot("id").alias("_x"))
+        .groupBy(F.bitmap_bucket_number("_x").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    )
+    at = docs.withColumn("_x", spot("doc_id"))
+    at = at.withColumns({"_bucket": F.bitmap_bucket_number("_x"), "_x": F.bitmap_bit_position("_x")})
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_x div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_x % 8 as int))")) != 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    return at.join(F.broadcast(bits), "_bucket", "left").select(*(F.col(c) for c in docs.columns), hit.alias(flag))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids (id); only rows that may be are shuffled, if any."""
+    flagged = flag_ids(docs, ids, "_maybe")
+    sure = flagged.where("not _maybe").drop("_maybe")
+    unsure = flagged.where("_maybe").drop("_maybe").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    return sure.unionByName(unsure.select(*docs.columns))
