@@ -24,21 +24,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import flag_ids, written
 from palimpsest.llm.wordhash import mix64, text_slices, window_starts, windows, words
 
 #: Sets of up to TINY elements enumerate subsets; larger ones (and the few sizes that can
 #: be similar to a tiny one) use partitions from MIN_PARTED on.
 MIN_PARTED = 10
 SEEDS = 4
-#: A signature shared by more documents than this is hot.
+#: Buckets up to this size leave the task as lists, larger ones as rows.
 HOT = 64
-#: Bits of the bitmap that pre-selects documents for verification (4 MB, whatever the input).
-FILTER_BITS = 1 << 25
+#: A size row packs the set's size and its room.
+ROOM_BITS = 20
+ROOM_MAX = (1 << ROOM_BITS) - 1
 SIG_SCHEMA = "key long, doc long, slot int, extra long"
 FOUND_SCHEMA = "kind int, a long, b long, c int, members array<long>"
 PAIR, BUCKET, HOT_ROW, SAME, SIZE = range(5)
@@ -124,12 +125,18 @@ def _parted(h, bounds, which, parts, need, band, seed):
 
 
 def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands: Bands) -> list[tuple]:
-    """(key, doc, slot, extra) array blocks of one slice; slot < 0 marks sizes (-1) and exact copies (-2)."""
+    """(key, doc, slot, extra) array blocks of one slice; slot < 0 marks sizes (-1) and exact copies (-2).
+
+    A size row also has the document's room: of any instance, the fewest partitions that it
+    must share with a partner beyond its empty ones (0: nothing to spare).
+    """
     sizes = np.diff(bounds)
-    blocks = [(mix64(doc_ids.astype(np.uint64)).view(np.int64), doc_ids, np.full(len(sizes), -1), sizes)]
+    spread = mix64(doc_ids.astype(np.uint64)).view(np.int64)
+    spare = np.full(len(sizes), ROOM_MAX)
     some = np.flatnonzero(sizes)
     if not len(some):
-        return blocks
+        return [(spread, doc_ids, np.full(len(sizes), -1), (sizes << ROOM_BITS) + spare)]
+    blocks = []
     s1 = np.add.reduceat(mix64(h ^ _A), bounds[some])
     s2 = np.add.reduceat(mix64(h ^ _B), bounds[some])
     order = np.lexsort((doc_ids[some], s2, s1))
@@ -140,6 +147,7 @@ def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands
     blocks.append((mix64(doc_ids[copies].astype(np.uint64)).view(np.int64), doc_ids[copies], np.full(len(copies), -2), doc_ids[heads]))
     reps = some[order[lead]]
     tiny = reps[sizes[reps] <= bands.tiny_limit()]
+    spare[tiny] = 0
     keys, docs = [], []
     for k in tiny.tolist():
         x = mix64(h[bounds[k] : bounds[k + 1]] ^ _A)
@@ -163,15 +171,15 @@ def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands
             parts = bands.parts[band]
             need = parts - bands.differ(n, partner)
             sig, own, room = _parted(h, bounds, which, parts, need, band, seed)
-            slot = np.clip(room, 0, 1 << 20) * 8 + seed * 2 + lower
-            blocks.append((sig.view(np.int64), doc_ids[which][own], slot[own], np.zeros(len(own), np.int64)))
+            spare[which] = np.minimum(spare[which], np.clip(room, 0, ROOM_MAX))
+            blocks.append((sig.view(np.int64), doc_ids[which][own], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
             unsafe = room <= 0
             if seed == SEEDS - 1 and unsafe.any():
                 rest = which[unsafe]
                 key = mix64(band[unsafe].astype(np.uint64) + _B).view(np.int64)
-                blocks.append((key, doc_ids[rest], np.full(len(rest), seed * 2 + lower), np.zeros(len(rest), np.int64)))
+                blocks.append((key, doc_ids[rest], np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)))
             which, band = which[unsafe], band[unsafe]
-    return blocks
+    return [(spread, doc_ids, np.full(len(sizes), -1), (sizes << ROOM_BITS) + spare), *blocks]
 
 
 def _emit_signatures(width: int, percent: int):
@@ -207,46 +215,51 @@ def _rows(kind: int, a=None, b=None, c=None, members=None) -> pa.RecordBatch:
 
 
 def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shuffle partition: star pairs, buckets of 3 to HOT documents, rows of hot signatures."""
+    """Of one shuffle partition: buckets of two as pairs, of 3 to HOT as lists, rows of larger ones.
+
+    Equal lists are returned once, with their number in ``c``.
+    """
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
     key, doc, slot, extra = (np.concatenate([p[k] for p in parts]) for k in range(4))
     del parts
-    for mark, kind in ((-1, SIZE), (-2, SAME)):
-        at = slot == mark
-        if at.any():
-            yield _rows(kind, a=doc[at], b=extra[at])
+    at = slot == -1
+    if at.any():
+        yield _rows(SIZE, a=doc[at], b=extra[at] >> ROOM_BITS, c=extra[at] & ROOM_MAX)
+    at = slot == -2
+    if at.any():
+        yield _rows(SAME, a=doc[at], b=extra[at])
     real = slot >= 0
-    key, doc, slot = key[real], doc[real], slot[real]
+    key, doc = key[real], doc[real]
+    del slot, extra
     order = np.lexsort((doc, key))
-    key, doc, slot = key[order], doc[order], slot[order]
+    key, doc = key[order], doc[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc, slot = key[fresh], doc[fresh], slot[fresh]
+    key, doc = key[fresh], doc[fresh]
     if not len(key):
         return
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     runs = np.flatnonzero(new)
     length = np.diff(np.append(runs, len(key)))
-    center = np.repeat(doc[runs], length)
-    far = center != doc
-    if far.any():
-        pairs = np.unique(np.stack([center[far], doc[far]], axis=1), axis=0)
+    two = runs[length == 2]
+    if len(two):
+        pairs = np.unique(np.stack([doc[two], doc[two + 1]], axis=1), axis=0)
         yield _rows(PAIR, a=pairs[:, 0], b=pairs[:, 1])
     mid = np.flatnonzero((length >= 3) & (length <= HOT))
     if len(mid):
         marks = np.add.reduceat(mix64(doc.astype(np.uint64)), runs)[mid]
-        _, once = np.unique(marks, return_index=True)
+        marks, once, times = np.unique(marks, return_index=True, return_counts=True)
         mid = mid[once]
         sizes = length[mid]
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - runs[mid], sizes)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(doc[at]))
-        yield _rows(BUCKET, a=doc[runs[mid]], members=lists)
+        yield _rows(BUCKET, a=marks.view(np.int64), c=times, members=lists)
     hot = np.repeat(length > HOT, length)
     if hot.any():
-        yield _rows(HOT_ROW, a=key[hot], b=doc[hot], c=slot[hot])
+        yield _rows(HOT_ROW, a=key[hot], b=doc[hot])
 
 
 def _jaccard(width: int, percent: int):
@@ -277,66 +290,103 @@ def _jaccard(width: int, percent: int):
     return run
 
 
-def _preselect(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id may be in ids (id): a bitmap of fixed size, broadcast; lets a few others through."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = (
-        ids.select(spot(F.col("id")).alias("x"))
-        .groupBy(F.bitmap_bucket_number("x").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    )
-    at = docs.withColumn("x", spot(F.col("doc_id")))
-    at = at.withColumn("bucket", F.bitmap_bucket_number("x")).withColumn("x", F.bitmap_bit_position("x"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("x") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    byte = F.expr("cast(conv(hex(substring(bits, cast(x div 8 as int) + 1, 1)), 16, 10) as int)")
-    return at.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(x % 8 as int))")) != 0).select(*docs.columns)
-
-
 def verify(docs: DataFrame, pairs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Exact Jaccard of the candidate pairs (a, b): a, b, inter, total, linked.  docs: doc_id, text."""
+    """Exact Jaccard of the candidate pairs (a, b): a, b, inter, total, linked.  docs: doc_id, text, without nulls."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = _preselect(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids)
+    texts = flag_ids(docs, ids, "maybe").where("maybe")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(width, percent), "a long, b long, inter long, total long, linked boolean")
 
 
-def _across(found: DataFrame, labels: DataFrame, sizes: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose set sizes allow the similarity."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}")), c)
+    return pairs.where((F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)).select("a", "b")
+
+
+def _emit_shingles(width: int):
+    """(doc_id, component, text) -> (shingle, doc, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, piece in text_slices(batch.column(2)):
+                h, bounds = shingle_sets(piece, width)
+                row = pa.array(first + np.repeat(np.arange(len(piece)), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["shingle", "doc", "component"])
+
+    return run
+
+
+def _own_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(doc, own): how many of a document's shingles no member (doc, component) of another component has."""
+    texts = flag_ids(docs, members.select(F.col("doc").alias("id")), "maybe").where("maybe").join(members.withColumnRenamed("doc", "doc_id"), "doc_id")
+    rows = texts.select("doc_id", "component", "text").mapInArrow(_emit_shingles(width), "shingle long, doc long, component long")
+    rows = rows.distinct()
+    ends = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    own = rows.join(ends.where("x = y").select("shingle"), "shingle", "left_semi")
+    return own.groupBy("doc").agg(F.count("*").alias("own"))
+
+
+def _shared_rows(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bucket, doc): documents in buckets of three or more that are not safe.
+
+    A document is safe while it shares fewer partitions with two or more others than its
+    room: then it meets every partner in a bucket of two, which is compared anyway.
+    """
+    lists = found.where(f"kind = {BUCKET}").select(F.col("a").alias("bucket"), F.col("c").cast("long").alias("times"), F.explode("members").alias("doc"))
+    hot = found.where(f"kind = {HOT_ROW}").select(F.col("a").alias("bucket"), F.lit(1).cast("long").alias("times"), F.col("b").alias("doc"))
+    rows = lists.unionByName(hot)
+    unsafe = rows.groupBy("doc").agg(F.sum("times").alias("shared")).join(sizes, "doc").where("shared >= room").select("doc")
+    return rows.select("bucket", "doc").join(unsafe, "doc", "left_semi").distinct()
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """(bucket, doc, center): the smallest document of each bucket is its centre."""
+    middle = rows.groupBy("bucket").agg(F.min("doc").alias("center"), F.max("doc").alias("_last")).where("center != _last").drop("_last")
+    return rows.join(middle, "bucket")
+
+
+def _across(docs, stars, labels, sizes, tested, failed, width: int, percent: int) -> DataFrame:
     """Candidate pairs of documents that share a signature but are still in different components.
 
-    Only buckets whose star comparison failed somewhere are looked at.  Documents of hot
-    signatures take part only where they are not safe (see the module's text).  A pair is
-    skipped if sizes exclude it or if the known distances to the bucket's centre do (the
-    Jaccard distance is a metric).
+    Only buckets whose star comparison failed somewhere are looked at.  A family of very
+    many half-alike copies would make the square of its size, so what is known without
+    comparing excludes documents and pairs, exactly: shingles that no other component has
+    (``own``) are differences to every partner, and the shingles of the bucket's centre
+    that x lacks and that y lacks differ by at least the gap of their counts.
     """
-    centers = failed.select("a").distinct()
-    buckets = found.where(f"kind = {BUCKET}").select(F.col("a").alias("center"), "members").join(centers.withColumnRenamed("a", "center"), "center", "left_semi")
-    rows = buckets.select(F.xxhash64("members").alias("bucket"), "center", F.explode("members").alias("doc"))
-    hot = found.where(f"kind = {HOT_ROW}").select("a", "b", "c")
-    unsafe = hot.groupBy("b", "c").agg(F.count("*").alias("n")).where(F.col("n") >= F.floor(F.col("c") / 8)).select("b", "c")
-    kept = hot.join(unsafe, ["b", "c"], "left_semi")
-    middle = hot.groupBy("a").agg(F.min("b").alias("center"))
-    hot_rows = kept.join(middle, "a").select(F.col("a").alias("bucket"), "center", F.col("b").alias("doc"))
-    rows = rows.unionByName(hot_rows).distinct()
-    known = failed.select(F.col("a").alias("center"), F.col("b").alias("doc"), (1 - F.col("inter") / F.col("total")).alias("gap"))
-    rows = rows.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").join(sizes, "doc", "left").join(known, ["center", "doc"], "left")
-    rows = rows.withColumn("component", F.coalesce("component", "doc"))
-    apart = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rows = rows.join(apart, "bucket", "left_semi").select("bucket", "doc", "component", "n", "gap")
+    centers = failed.select(F.col("a").alias("center")).distinct()
+    rows = stars.join(centers, "center", "left_semi")
+    rows = rows.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left")
+    rows = written(_apart(rows.withColumn("component", F.coalesce("component", "doc"))), "apart")
+    own = _own_shingles(docs, rows.select("doc", "component").distinct(), width)
+    rows = rows.join(own, "doc", "left").join(sizes, "doc").withColumn("own", F.coalesce("own", F.lit(0)))
+    rows = rows.where(F.col("own") * 100 <= F.col("n") * (100 - percent))
+    known = tested.select(F.col("a").alias("center"), F.col("b").alias("doc"), "total")
+    rows = rows.join(known, ["center", "doc"], "left").withColumn("lacks", F.when(F.col("center") == F.col("doc"), 0).otherwise(F.col("total") - F.col("n")))
+    rows = written(_apart(rows).select("bucket", "doc", "component", "n", "own", "lacks"), "apart")
     l, r = rows.alias("l"), rows.alias("r")
-    most = (100 - percent) / 100 + 1e-9
+    least = F.col("l.own") + F.col("r.own") + F.coalesce(F.abs(F.col("l.lacks") - F.col("r.lacks")), F.lit(0))
     return (
         l.join(r, "bucket")
         .where("l.component < r.component")
         .where(F.col("l.n") * percent <= F.col("r.n") * 100)
         .where(F.col("r.n") * percent <= F.col("l.n") * 100)
-        .where(F.col("l.gap").isNull() | F.col("r.gap").isNull() | (F.abs(F.col("l.gap") - F.col("r.gap")) <= most))
+        .where(least * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent))
         .select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
         .distinct()
-        .join(failed.select("a", "b"), ["a", "b"], "left_anti")
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    return rows.join(ends.select("bucket"), "bucket", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: documents joined by chains of Jaccard >= percent/100.
 
@@ -345,11 +395,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     repeat a doc_id are one node (each is returned).  A null doc_id is returned with a null
     component and takes no part.  An empty table gives an empty result.
     """
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     real = thin.where("doc_id is not null")
     signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key")
     found = written(signatures.mapInArrow(_find_buckets, FOUND_SCHEMA), "buckets")
-    pairs = found.where(f"kind = {PAIR}").select("a", "b").distinct()
+    sizes = found.where(f"kind = {SIZE}").groupBy(F.col("a").alias("doc")).agg(F.max("b").alias("n"), F.min("c").alias("room"))
+    stars = written(_stars(_shared_rows(found, sizes)), "stars")
+    pairs = found.where(f"kind = {PAIR}").select("a", "b").unionByName(stars.where("center != doc").select(F.col("center").alias("a"), F.col("doc").alias("b")))
+    pairs = _sized(pairs.distinct(), sizes, percent)
     tested = written(verify(real, pairs, width, percent), "tested")
     same = found.where(f"kind = {SAME}").select("a", "b")
     edges = same.unionByName(tested.where("linked").select("a", "b"))
@@ -358,8 +411,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     failed = tested.where("not linked").join(at("a"), "a", "left").join(at("b"), "b", "left")
     failed = failed.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "inter", "total")
     if not failed.isEmpty():
-        sizes = found.where(f"kind = {SIZE}").groupBy(F.col("a").alias("doc")).agg(F.max("b").alias("n"))
-        more = written(verify(real, written(_across(found, labels, sizes, failed, percent), "across"), width, percent), "tested")
+        more = written(verify(real, written(_across(real, stars, labels, sizes, tested, failed, width, percent), "across"), width, percent), "tested")
         more = more.where("linked")
         if not more.isEmpty():
             edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
@@ -369,3 +421,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     result = result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lost = thin.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return result.unionByName(lost)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component of near copies: that of the smallest doc_id; same columns.
+
+    Of rows that repeat a doc_id one stays.  Rows without a doc_id and texts without words
+    are linked with nothing and stay.  Rows that cannot be concerned are not shuffled.
+    """
+    groups = written(jaccard_components(docs, width, percent), "groups").where("doc_id is not null")
+    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("id"))
+    repeated = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    flagged = flag_ids(docs, gone.unionByName(repeated), "_maybe")
+    sure = flagged.where("not _maybe").drop("_maybe")
+    unsure = flagged.where("_maybe").drop("_maybe").join(gone.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    unsure = unsure.withColumn("_text", F.xxhash64("text")).withColumn("_first", F.row_number().over(Window.partitionBy("doc_id").orderBy("_text")))
+    return sure.unionByName(unsure.where("_first = 1").select(*docs.columns))

@@ -48,7 +48,7 @@ class Words:
     data: np.ndarray
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) pieces of a string column of about ``max_bytes``; one text is never cut."""
     if pa.types.is_large_string(texts.type) is False:
         texts = texts.cast(pa.large_string())
