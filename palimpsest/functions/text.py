@@ -12,6 +12,8 @@ TECH_KEYWORDS = (
 )
 PROPER_NOUN = r"\b([A-Z][a-zA-Z0-9]{2,})\b"
 SENTENCE_END = "[。！？\n.!?]"
+#: White space of any script; plain ``trim`` takes spaces only.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TAG_WORDS = {
     "preference": ("prefer", "偏好", "喜欢", "用", "use"),
     "project": ("project", "项目", "repo", "仓库"),
@@ -23,6 +25,11 @@ PROCEDURAL_WORDS = ("how to", "step", "first", "then", "步骤", "先", "然后"
 IMPORTANT_WORDS = ("important", "critical", "must", "重要", "关键", "必须")
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
     """Some word is a substring of the lower-cased text."""
     low, found = F.lower(text), F.lit(False)
@@ -43,7 +50,7 @@ def space_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: strip(x)), lambda x: x != "")
 
 
 def entities(text: Column, existing: Column | None = None, most: int = 5) -> Column:

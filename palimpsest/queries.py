@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
@@ -20,7 +20,11 @@ from palimpsest.streaming import events as streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def _now() -> Column:
+    """The fixed time of every query."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def query(sql: str | None = None):
@@ -71,7 +75,7 @@ ALIVE = "(expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01')"
 
 @query(MEMORIES + f"SELECT id, user_id, memory_type FROM m WHERE is_active AND {ALIVE}")
 def s01_active_scan(spark, sf):
-    return store.scan(memories(spark, sf), NOW, active_only=True).select("id", "user_id", "memory_type")
+    return store.scan(memories(spark, sf), _now(), active_only=True).select("id", "user_id", "memory_type")
 
 
 @query(MEMORIES + "SELECT id, importance, access_count FROM m WHERE id IN (SELECT doc_id FROM labels)")
@@ -87,25 +91,25 @@ def s03_latest(spark, sf):
 @query(MEMORIES + "SELECT id, coalesce(l.imp, importance) AS importance FROM m LEFT JOIN (SELECT doc_id, max(quality) * 0.9::DOUBLE AS imp FROM labels GROUP BY 1) l ON l.doc_id = id")
 def s04_patch(spark, sf):
     changes = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") * 0.9).alias("importance"))
-    return store.patch(memories(spark, sf), changes, NOW).select("id", "importance")
+    return store.patch(memories(spark, sf), changes, _now()).select("id", "importance")
 
 
 @query(MEMORIES + "SELECT id FROM m WHERE NOT coalesce(importance < 0.1 AND user_id = 'src0' OR expires_at <= TIMESTAMP '2024-02-01', false)")
 def s05_delete(spark, sf):
-    gone = ((F.col("importance") < 0.1) & (F.col("user_id") == "src0")) | (F.col("expires_at") <= NOW)
+    gone = ((F.col("importance") < 0.1) & (F.col("user_id") == "src0")) | (F.col("expires_at") <= _now())
     return store.delete_where(memories(spark, sf), gone).select("id")
 
 
 @query(MEMORIES + "SELECT id, access_count + (SELECT count(*) FROM labels WHERE doc_id = id) AS access_count FROM m")
 def s08_touch(spark, sf):
-    return store.touch(memories(spark, sf), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), NOW).select("id", "access_count")
+    return store.touch(memories(spark, sf), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), _now()).select("id", "access_count")
 
 
 @query(MEMORIES + "SELECT id AS memory_id, CASE WHEN is_active THEN 'UPDATE' ELSE 'DELETE' END AS event FROM m WHERE NOT is_active OR content <> upper(content)")
 def s09_history(spark, sf):
     m = memories(spark, sf)
     after = m.where("is_active").withColumn("content", F.upper("content"))
-    return store.history_row(m, after, NOW).select("memory_id", "event")
+    return store.history_row(m, after, _now()).select("memory_id", "event")
 
 
 @query(
@@ -339,7 +343,7 @@ def _hybrid(spark, sf):
 )
 def v08_recall(spark, sf):
     q, m = _hybrid(spark, sf)
-    return recall_plan.recall(q, m, NOW, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return recall_plan.recall(q, m, _now(), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -373,7 +377,7 @@ def c07_bands(spark, sf):
 _LOW = "lower(text)"
 
 
-@query("SELECT doc_id AS id, len(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM documents")
+@query(f"SELECT doc_id AS id, len(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x, '{text.WHITE}')), lambda x: x <> '')) AS n FROM documents")
 def t05_sentences(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.size(text.sentences(F.col("text"))).alias("n"))
 
@@ -454,7 +458,7 @@ _RET = f"CASE WHEN importance > 0 THEN exp(-({DAYS.format('last_accessed')}) / (
 
 @query(MEMORIES + f"SELECT id, round({_RET}, 6) AS retention, round(importance * ({_RET}), 6) AS new_importance FROM m")
 def d01_decay(spark, sf):
-    return lifecycle.decayed(memories(spark, sf), NOW).select("id", F.round("retention", 6).alias("retention"), F.round("new_importance", 6).alias("new_importance"))
+    return lifecycle.decayed(memories(spark, sf), _now()).select("id", F.round("retention", 6).alias("retention"), F.round("new_importance", 6).alias("new_importance"))
 
 
 @query(
@@ -463,7 +467,7 @@ def d01_decay(spark, sf):
  + 0.1 * CASE memory_type WHEN 'semantic' THEN 1.0 WHEN 'procedural' THEN 0.95 WHEN 'episodic' THEN 0.7 WHEN 'working' THEN 0.3 ELSE 0.7 END) * (0.8 + 0.2 * importance))), 6) AS score FROM m"""
 )
 def d04_importance(spark, sf):
-    return lifecycle.scored(memories(spark, sf), NOW).select("id", F.round("score", 6).alias("score"))
+    return lifecycle.scored(memories(spark, sf), _now()).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -473,7 +477,7 @@ def d04_importance(spark, sf):
  SELECT id, 'ttl' AS policy FROM a UNION ALL SELECT id, 'importance' FROM c UNION ALL SELECT id, 'count' FROM d"""
 )
 def d12_retention_plan(spark, sf):
-    return lifecycle.retention_plan(memories(spark, sf), NOW, 30.98, 0.2, 300)
+    return lifecycle.retention_plan(memories(spark, sf), _now(), 30.98, 0.2, 300)
 
 
 @query(
@@ -483,12 +487,12 @@ def d12_retention_plan(spark, sf):
 )
 def d14_next_tier(spark, sf):
     tier = F.when(F.col("memory_type") == "semantic", "hot").when(F.col("memory_type") == "episodic", "warm").otherwise("cold")
-    return memories(spark, sf).select("id", lifecycle.next_tier(tier, scoring.days_between(NOW, F.col("created_at")) * 4, F.lit(120)).alias("tier"))
+    return memories(spark, sf).select("id", lifecycle.next_tier(tier, scoring.days_between(_now(), F.col("created_at")) * 4, F.lit(120)).alias("tier"))
 
 
 @query(MEMORIES + f"SELECT id, CASE WHEN NOT is_active THEN 'superseded' WHEN {DAYS.format('last_accessed')} > 20 THEN 'stale' ELSE 'active' END AS status FROM m")
 def d18_status(spark, sf):
-    return lifecycle.status(memories(spark, sf), NOW, 20.0).select("id", "status")
+    return lifecycle.status(memories(spark, sf), _now(), 20.0).select("id", "status")
 
 
 @query(MEMORIES + "SELECT id, CASE WHEN row_number() OVER (ORDER BY access_count DESC, last_accessed DESC, id) <= floor((SELECT count(*) FROM m) * 0.2) THEN 'hot' ELSE 'warm' END AS tier FROM m")
@@ -630,7 +634,7 @@ def c01_greedy_groups(spark, sf):
     return dedup.greedy_groups(e, 0.4)
 
 
-@query("SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x)), lambda x: length(x) >= 5)) AS s FROM conversations) GROUP BY 1")
+@query(f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x, '{text.WHITE}')), lambda x: length(x) >= 5)) AS s FROM conversations) GROUP BY 1")
 def t11_statements(spark, sf):
     return remember.statements(table(spark, sf, "conversations")).groupBy("conv_id").agg(F.count("*").alias("n"))
 
