@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -52,10 +52,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda x, k=r.kind: x["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
+    counts = [_count_kind(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES]
     return rows.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
