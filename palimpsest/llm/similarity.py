@@ -348,27 +348,38 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(middle, "bucket")
 
 
-def _across(docs, stars, labels, sizes, tested, failed, width: int, percent: int) -> DataFrame:
+def _left_apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, doc, center, component, center_component) of every bucket that still holds more than one component.
+
+    What kept a document from its centre does not matter: a failed comparison or the sizes alone.
+    """
+    of = lambda name, as_: labels.select(F.col("id").alias(name), F.col("component").alias(as_))
+    rows = stars.join(of("doc", "component"), "doc", "left").join(of("center", "center_component"), "center", "left")
+    return _apart(rows.withColumns({"component": F.coalesce("component", "doc"), "center_component": F.coalesce("center_component", "center")}))
+
+
+def _across(docs, rows, sizes, tested, width: int, percent: int) -> DataFrame:
     """Candidate pairs of documents that share a signature but are still in different components.
 
-    Only buckets whose star comparison failed somewhere are looked at.  A family of very
-    many half-alike copies would make the square of its size, so what is known without
-    comparing excludes documents and pairs, exactly: shingles that no other component has
-    (``own``) are differences to every partner, and the shingles of the bucket's centre
-    that x lacks and that y lacks differ by at least the gap of their counts.
+    rows: as _left_apart.  A family of very many half-alike copies would make the square of
+    its size, so what is known without comparing excludes documents and pairs, exactly.
+    Shingles that no other component has (``own``) are differences to every partner.  Of
+    the shingles of the bucket's centre, x and y differ in at least the gap of the counts
+    that they lack; of the others, in at least the gap of the counts that they have there
+    and in the ``own`` ones of those of x and y that are not in the centre's component
+    (the centre may share the ``own`` shingles of its own component).
     """
-    centers = failed.select(F.col("a").alias("center")).distinct()
-    rows = stars.join(centers, "center", "left_semi")
-    rows = rows.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left")
-    rows = written(_apart(rows.withColumn("component", F.coalesce("component", "doc"))), "apart")
     own = _own_shingles(docs, rows.select("doc", "component").distinct(), width)
     rows = rows.join(own, "doc", "left").join(sizes, "doc").withColumn("own", F.coalesce("own", F.lit(0)))
     rows = rows.where(F.col("own") * 100 <= F.col("n") * (100 - percent))
     known = tested.select(F.col("a").alias("center"), F.col("b").alias("doc"), "total")
     rows = rows.join(known, ["center", "doc"], "left").withColumn("lacks", F.when(F.col("center") == F.col("doc"), 0).otherwise(F.col("total") - F.col("n")))
-    rows = written(_apart(rows).select("bucket", "doc", "component", "n", "own", "lacks"), "apart")
+    rows = rows.withColumn("own_outside", F.when(F.col("component") == F.col("center_component"), 0).otherwise(F.col("own")))
+    rows = written(_apart(rows).select("bucket", "doc", "component", "n", "own", "own_outside", "lacks"), "apart")
     l, r = rows.alias("l"), rows.alias("r")
-    least = F.col("l.own") + F.col("r.own") + F.coalesce(F.abs(F.col("l.lacks") - F.col("r.lacks")), F.lit(0))
+    inside = F.coalesce(F.abs(F.col("l.lacks") - F.col("r.lacks")), F.lit(0))
+    outside = F.coalesce(F.abs(F.col("l.n") + F.col("l.lacks") - F.col("r.n") - F.col("r.lacks")), F.lit(0))
+    least = F.greatest(F.col("l.own") + F.col("r.own"), inside + F.greatest(outside, F.col("l.own_outside") + F.col("r.own_outside")))
     return (
         l.join(r, "bucket")
         .where("l.component < r.component")
@@ -407,11 +418,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     same = found.where(f"kind = {SAME}").select("a", "b")
     edges = same.unionByName(tested.where("linked").select("a", "b"))
     labels = written(components(edges), "labels")
-    at = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias("c_" + name))
-    failed = tested.where("not linked").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    failed = failed.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "inter", "total")
-    if not failed.isEmpty():
-        more = written(verify(real, written(_across(real, stars, labels, sizes, tested, failed, width, percent), "across"), width, percent), "tested")
+    apart = written(_left_apart(stars, labels), "apart")
+    if not apart.isEmpty():
+        more = written(verify(real, written(_across(real, apart, sizes, tested, width, percent), "across"), width, percent), "tested")
         more = more.where("linked")
         if not more.isEmpty():
             edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
