@@ -2,10 +2,9 @@
 
 Numbers, units after numbers and names inside sentences become typed placeholders, case
 and punctuation go, and windows of five template words are hash-joined with those of the
-benchmark.  A document is first probed with every fifth window only: the benchmark has a
-window at every word, so a shared run of nine words always holds a probed one.  Documents
-that a probe finds are compared in full, and the values that stand in the slots of the
-matching windows must replace those of the item consistently.
+benchmark.  All windows of a document are probed, at every offset.  Documents that a probe
+finds are compared in full, and the values that stand in the slots of the matching windows
+must replace those of the item consistently.
 """
 
 from __future__ import annotations
@@ -72,15 +71,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_percent: int = 40,
     items = items.dropDuplicates(["item_id"])
     items = _split(items, ["item_id"]).where(F.size("words") >= WIDTH)
     known = items.select("item_id", "values", F.size("words").alias("n"), _windows("words")).withColumnRenamed("pos", "item_pos")
-    size = items.agg(F.sum(F.length(F.array_join("words", " "))).alias("chars"), F.min(F.size("words")).alias("least")).first()
+    size = items.agg(F.sum(F.length(F.array_join("words", " "))).alias("chars")).first()
     few = (size["chars"] or 0) <= BROADCAST_CHARS
     small = F.broadcast if few else (lambda df: df)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     flat = texts.select("doc_id", template(valued_template(F.col("text"))).alias("flat"))
-    # items of under nine words may hold no probed window: then every offset is probed
-    offsets = range(WIDTH if (size["least"] or 0) < 2 * WIDTH - 1 else 1)
     chunk = F.lit(rf"(?:[^ ]+ ){{{WIDTH - 1}}}[^ ]+")
-    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]+ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in offsets))
+    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]+ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in range(WIDTH)))
     probed = flat.select("doc_id", F.explode(probes).alias("window")).join(small(known.select("window").distinct()), "window", "left_semi").select("doc_id").distinct()
     # several joins read these few ids; unwritten, each would probe all texts again
     probed = written(probed, "probed")
