@@ -38,6 +38,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_name() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -53,21 +58,22 @@ def flag_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
     Where the ids outgrow the bitmap it only lets more rows through.
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = (
-        ids.select(spot("id").alias("_x"))
-        .groupBy(F.bitmap_bucket_number("_x").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    bucket, bit, bits = (fresh_name() for _ in range(3))
+    marks = (
+        ids.select(spot("id").alias(bit))
+        .groupBy(F.bitmap_bucket_number(bit).alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits))
     )
-    at = docs.withColumn("_x", spot("doc_id"))
-    at = at.withColumns({"_bucket": F.bitmap_bucket_number("_x"), "_x": F.bitmap_bit_position("_x")})
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_x div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_x % 8 as int))")) != 0, F.lit(False)) & F.col("doc_id").isNotNull()
-    return at.join(F.broadcast(bits), "_bucket", "left").select(*(F.col(c) for c in docs.columns), hit.alias(flag))
+    at = docs.withColumns({bucket: F.bitmap_bucket_number(spot("doc_id")), bit: F.bitmap_bit_position(spot("doc_id"))})
+    byte = F.expr(f"cast(conv(hex(substring({bits}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({bit} % 8 as int))")) != 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    return at.join(F.broadcast(marks), bucket, "left").select(*(F.col(f"`{c}`") for c in docs.columns), hit.alias(flag))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in ids (id); only rows that may be are shuffled, if any."""
-    flagged = flag_ids(docs, ids, "_maybe")
-    sure = flagged.where("not _maybe").drop("_maybe")
-    unsure = flagged.where("_maybe").drop("_maybe").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    return sure.unionByName(unsure.select(*docs.columns))
+    maybe = fresh_name()
+    flagged = flag_ids(docs, ids, maybe)
+    sure = flagged.where(~F.col(maybe)).drop(maybe)
+    unsure = flagged.where(F.col(maybe)).drop(maybe).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    return sure.unionByName(unsure.select(*(F.col(f"`{c}`") for c in docs.columns)))

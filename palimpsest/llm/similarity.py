@@ -2,45 +2,59 @@
 
 A document is the set of its distinct word shingles.  Sets fall into size bands such that
 a partner of similarity p has a size in the same or the next band; a set takes part in the
-*instance* of its own band and in that of the band below.  In an instance the 64-bit
-feature domain is cut into N equal partitions.  Two sets with J >= p differ in at most
-d elements, so they agree on at least N - d whole partitions, and the hash of one agreed,
-non-empty partition is a signature that both emit.  N exceeds d by a margin, so that empty
-partitions, and signatures that very many sets share, need not be compared: a set is *safe*
-while fewer of its partitions are empty or hot than it must share with any partner, and a
-pair with one safe set still meets in another signature.  A set with too many empty
-partitions emits under a further seed.  Tiny sets enumerate their subsets with up to
-(1-p)|s| elements left out instead (partitions of one element each).
-
-Candidates within a signature's bucket are compared with the bucket's smallest document
-only; links found there join most buckets into one component.  What remains apart is then
+*instance* of its own band and, as a guest, in that of the band below, so each pair has one
+instance that counts (two guests are compared in the band of their own).
+
+In an instance the 64-bit feature domain is cut twice: into G groups, and each group into
+three partitions.  Two sets with J >= p differ in at most d elements, so all but d/2 groups
+hold at most one differing element, and in such a group two of the three partitions agree.
+The three subsets of two partitions of each group are enumerated, and the hash of a subset
+is a signature.  G exceeds d/2 by a margin, so that empty partitions, and signatures that
+very many sets share, need not be compared: a set has *room* for as many of them as it must
+share groups with any partner, less one.  A set without room emits under a further seed.
+Tiny sets enumerate their subsets with up to (1-p)|s| elements left out instead.
+
+Candidates are compared exactly, unless their sizes or their parity sketches show that they
+cannot be similar: a sketch has one bit for each of SKETCH_BITS cells of the domain, the
+parity of the set's elements there.  A differing element flips one bit, so more than d
+different bits mean more than d differing elements.
+
+Members of a signature's bucket are compared with the bucket's smallest document only;
+links found there join most buckets into one component.  What remains apart is then
 compared across components (never within one), which keeps the result exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import flag_ids, written
+from palimpsest.llm.shared import flag_ids, fresh_name, written
 from palimpsest.llm.wordhash import mix64, text_slices, window_starts, windows, words
 
 #: Sets of up to TINY elements enumerate subsets; larger ones (and the few sizes that can
 #: be similar to a tiny one) use partitions from MIN_PARTED on.
 MIN_PARTED = 10
 SEEDS = 4
+SKETCH_BITS = 1024
 #: Buckets up to this size leave the task as lists, larger ones as rows.
 HOT = 64
+#: Members of listed buckets that a task holds before it writes the distinct ones.
+HELD = 400_000
 #: A size row packs the set's size and its room.
 ROOM_BITS = 20
 ROOM_MAX = (1 << ROOM_BITS) - 1
-SIG_SCHEMA = "key long, doc long, slot int, extra long"
+#: Low bits of a tag: what a row of the signature exchange is.
+OWN, GUEST, SET, COPY = range(4)
+SIG_SCHEMA = "key long, doc long, tag long, words array<long>"
 FOUND_SCHEMA = "kind int, a long, b long, c int, members array<long>"
 PAIR, BUCKET, HOT_ROW, SAME, SIZE = range(5)
 
@@ -82,7 +96,7 @@ class Bands:
             edges.append(max(self.largest(edges[-1] - 1), edges[-1]) + 1)
         self.edges = np.array(edges, dtype=np.int64)
         top = self.edges[1:] - 1
-        self.parts = np.array([self.partitions(self.differ(n, self.largest(n))) for n in top.tolist()], dtype=np.int64)
+        self.groups = np.array([self.first_level(self.differ(n, self.largest(n))) for n in top.tolist()], dtype=np.int64)
 
     def largest(self, n: int):
         """Largest partner of a set of n elements."""
@@ -93,8 +107,9 @@ class Bands:
         return (n + m) * (100 - self.percent) // (100 + self.percent)
 
     @staticmethod
-    def partitions(d: int) -> int:
-        return d + 2 + max(2, -(-15 * d // 100))
+    def first_level(d: int) -> int:
+        """Groups of an instance: more than d/2 by a margin."""
+        return d // 2 + 1 + max(2, -(-(d // 2) // 10))
 
     def tiny_limit(self) -> int:
         return int(self.largest(MIN_PARTED - 1))
@@ -103,8 +118,11 @@ class Bands:
 _A, _B = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
-def _parted(h, bounds, which, parts, need, band, seed):
-    """Signatures of the sets ``which``: (signature, index in which, room); room = partitions to spare."""
+def _enumerated(h, bounds, which, groups, need, band, seed):
+    """Signatures of the sets ``which``: (signature, index in which, room).
+
+    room: groups that the set shares with any partner, less those whose agreed subset may be empty.
+    """
     sizes = bounds[which + 1] - bounds[which]
     first = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) - np.repeat(first - bounds[which], sizes)
@@ -113,29 +131,51 @@ def _parted(h, bounds, which, parts, need, band, seed):
         x = mix64(x + np.uint64(seed) * _A)
         order = np.lexsort((x, owner))
         x = x[order]
-    place = ((x >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
+    cells = 3 * groups
+    base = np.cumsum(cells) - cells
+    cell = base[owner] + (((x >> np.uint64(32)) * cells[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
     new = np.ones(len(x), bool)
-    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    new[1:] = cell[1:] != cell[:-1]
     runs = np.flatnonzero(new)
-    sums = np.add.reduceat(mix64(x ^ _A), runs) if len(runs) else np.empty(0, np.uint64)
-    own = owner[runs]
-    label = (band[own].astype(np.uint64) << np.uint64(40)) ^ (np.uint64(seed) << np.uint64(34)) ^ place[runs]
-    room = need - (parts - np.bincount(own, minlength=len(which)))
-    return mix64(sums ^ mix64(label + _B)), own, room
+    sums = np.zeros(int(cells.sum()), np.uint64)
+    sums[cell[runs]] = np.add.reduceat(mix64(x ^ _A), runs)
+    full = np.zeros(len(sums), bool)
+    full[cell[runs]] = True
+    sums, full = sums.reshape(-1, 3), full.reshape(-1, 3)
+    own = np.repeat(np.arange(len(which)), groups)
+    room = need - np.bincount(own[full.sum(axis=1) < 2], minlength=len(which))
+    number = np.arange(len(own)) - np.repeat(base // 3, groups)
+    label = (band[own].astype(np.uint64) << np.uint64(40)) ^ (np.uint64(seed) << np.uint64(34))
+    found, owners = [], []
+    for subset, (i, j) in enumerate(combinations(range(3), 2)):
+        some = full[:, i] | full[:, j]
+        mark = label[some] ^ (3 * number[some] + subset).astype(np.uint64)
+        found.append(mix64(sums[some, i] ^ mix64(sums[some, j] + mark * _B) ^ mark))
+        owners.append(own[some])
+    return np.concatenate(found), np.concatenate(owners), room
+
+
+def parity_sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of SKETCH_BITS / 64 int64 words for each set."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    cell = (mix64(h ^ _B) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(owner * SKETCH_BITS + cell, minlength=(len(bounds) - 1) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH_BITS // 64)
 
 
 def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands: Bands) -> list[tuple]:
-    """(key, doc, slot, extra) array blocks of one slice; slot < 0 marks sizes (-1) and exact copies (-2).
+    """(key, doc, tag) array blocks of one slice, the sets' rows first, then exact copies (key: the first one), then signatures.
 
-    A size row also has the document's room: of any instance, the fewest partitions that it
-    must share with a partner beyond its empty ones (0: nothing to spare).
+    A set's row also has its room: in any instance, the fewest groups that it must share
+    with a partner beyond those that may be empty (0: nothing to spare).
     """
     sizes = np.diff(bounds)
     spread = mix64(doc_ids.astype(np.uint64)).view(np.int64)
     spare = np.full(len(sizes), ROOM_MAX)
     some = np.flatnonzero(sizes)
+    sets = lambda: (spread, doc_ids, (((sizes << ROOM_BITS) + spare) << 2) + SET)
     if not len(some):
-        return [(spread, doc_ids, np.full(len(sizes), -1), (sizes << ROOM_BITS) + spare)]
+        return [sets()]
     blocks = []
     s1 = np.add.reduceat(mix64(h ^ _A), bounds[some])
     s2 = np.add.reduceat(mix64(h ^ _B), bounds[some])
@@ -144,7 +184,7 @@ def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands
     lead[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
     leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(some)), 0))]
     copies, heads = some[order[~lead]], some[leader[~lead]]
-    blocks.append((mix64(doc_ids[copies].astype(np.uint64)).view(np.int64), doc_ids[copies], np.full(len(copies), -2), doc_ids[heads]))
+    blocks.append((doc_ids[heads], doc_ids[copies], np.full(len(copies), COPY)))
     reps = some[order[lead]]
     tiny = reps[sizes[reps] <= bands.tiny_limit()]
     spare[tiny] = 0
@@ -158,28 +198,27 @@ def signature_rows(doc_ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, bands
                 keys.append((total - sum(left)) & ((1 << 64) - 1))
                 docs.append(doc_ids[k])
     if keys:
-        blocks.append((mix64(np.array(keys, np.uint64)).view(np.int64), np.array(docs, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)))
+        blocks.append((mix64(np.array(keys, np.uint64)).view(np.int64), np.array(docs, np.int64), np.full(len(keys), OWN)))
     big = reps[sizes[reps] >= MIN_PARTED]
     own_band = np.searchsorted(bands.edges, sizes[big], side="right") - 1
-    for lower in (0, 1):
+    for role, lower in ((OWN, 0), (GUEST, 1)):
         which, band = big[own_band >= lower], own_band[own_band >= lower] - lower
         for seed in range(SEEDS):
             if not len(which):
                 break
             n = sizes[which]
             partner = np.minimum(n, bands.edges[band + 1] - 1) if lower else bands.largest(n)
-            parts = bands.parts[band]
-            need = parts - bands.differ(n, partner)
-            sig, own, room = _parted(h, bounds, which, parts, need, band, seed)
+            groups = bands.groups[band]
+            need = groups - bands.differ(n, partner) // 2
+            sig, own, room = _enumerated(h, bounds, which, groups, need, band, seed)
             spare[which] = np.minimum(spare[which], np.clip(room, 0, ROOM_MAX))
-            blocks.append((sig.view(np.int64), doc_ids[which][own], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
+            blocks.append((sig.view(np.int64), doc_ids[which][own], np.full(len(own), role)))
             unsafe = room <= 0
             if seed == SEEDS - 1 and unsafe.any():
                 rest = which[unsafe]
-                key = mix64(band[unsafe].astype(np.uint64) + _B).view(np.int64)
-                blocks.append((key, doc_ids[rest], np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)))
+                blocks.append((mix64(band[unsafe].astype(np.uint64) + _B).view(np.int64), doc_ids[rest], np.full(len(rest), role)))
             which, band = which[unsafe], band[unsafe]
-    return [(spread, doc_ids, np.full(len(sizes), -1), (sizes << ROOM_BITS) + spare), *blocks]
+    return [sets(), *blocks]
 
 
 def _emit_signatures(width: int, percent: int):
@@ -190,11 +229,11 @@ def _emit_signatures(width: int, percent: int):
             for first, piece in text_slices(batch.column(1)):
                 h, bounds = shingle_sets(piece, width)
                 blocks = signature_rows(ids[first : first + len(piece)].astype(np.int64), h, bounds, bands)
-                cols = [np.concatenate([b[k] for b in blocks]) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int64))],
-                    names=["key", "doc", "slot", "extra"],
-                )
+                cols = [pa.array(np.concatenate([b[k] for b in blocks])) for k in range(3)]
+                sketch = parity_sketches(h, bounds)
+                ends = np.minimum(np.arange(len(cols[0]) + 1), len(piece)) * sketch.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([*cols, lists], names=["key", "doc", "tag", "words"])
 
     return run
 
@@ -214,52 +253,100 @@ def _rows(kind: int, a=None, b=None, c=None, members=None) -> pa.RecordBatch:
     )
 
 
-def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shuffle partition: buckets of two as pairs, of 3 to HOT as lists, rows of larger ones.
-
-    Equal lists are returned once, with their number in ``c``.
-    """
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, doc, slot, extra = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    del parts
-    at = slot == -1
-    if at.any():
-        yield _rows(SIZE, a=doc[at], b=extra[at] >> ROOM_BITS, c=extra[at] & ROOM_MAX)
-    at = slot == -2
-    if at.any():
-        yield _rows(SAME, a=doc[at], b=extra[at])
-    real = slot >= 0
-    key, doc = key[real], doc[real]
-    del slot, extra
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[fresh], doc[fresh]
-    if not len(key):
-        return
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    runs = np.flatnonzero(new)
-    length = np.diff(np.append(runs, len(key)))
-    two = runs[length == 2]
-    if len(two):
-        pairs = np.unique(np.stack([doc[two], doc[two + 1]], axis=1), axis=0)
-        yield _rows(PAIR, a=pairs[:, 0], b=pairs[:, 1])
-    mid = np.flatnonzero((length >= 3) & (length <= HOT))
-    if len(mid):
-        marks = np.add.reduceat(mix64(doc.astype(np.uint64)), runs)[mid]
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... for sizes[0] steps, then first[1], ..."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+
+
+class _Buckets:
+    """Buckets of one shuffle partition, from rows in (key, doc, tag) order; only the last key's rows and lists of small buckets are held."""
+
+    def __init__(self):
+        self.rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        self.hot: int | None = None
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, key, doc, own) -> Iterator[pa.RecordBatch]:
+        if self.hot is not None and len(key):
+            more = int(np.argmin(key == self.hot)) if key[-1] != self.hot else len(key)
+            if more:
+                yield _rows(HOT_ROW, a=key[:more], b=doc[:more], c=own[:more])
+            key, doc, own = key[more:], doc[more:], own[more:]
+        if not len(key):
+            return
+        self.hot = None
+        key, doc, own = (np.concatenate(x) for x in zip(self.rest, (key, doc, own), strict=True))
+        cut = int(np.argmax(key == key[-1]))
+        yield from self._settle(key[:cut], doc[:cut], own[:cut])
+        key, doc, own = key[cut:], doc[cut:], own[cut:]
+        if len(key) > 2 * HOT:
+            self.hot = int(key[0])
+            yield _rows(HOT_ROW, a=key, b=doc, c=own)
+            key, doc, own = key[:0], doc[:0], own[:0]
+        self.rest = key, doc, own
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._settle(*self.rest)
+        yield from self._lists()
+
+    def _settle(self, key, doc, own) -> Iterator[pa.RecordBatch]:
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, doc, own = key[fresh], doc[fresh], own[fresh]
+        if not len(key):
+            return
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        runs = np.flatnonzero(new)
+        length = np.diff(np.append(runs, len(key)))
+        hosts = np.add.reduceat(own.astype(np.int64), runs)
+        two = runs[(length == 2) & (hosts > 0)]
+        if len(two):
+            pairs = np.unique(np.stack([doc[two], doc[two + 1]], axis=1), axis=0)
+            yield _rows(PAIR, a=pairs[:, 0], b=pairs[:, 1])
+        hot = np.repeat((length > HOT) & (hosts > 0), length)
+        if hot.any():
+            yield _rows(HOT_ROW, a=key[hot], b=doc[hot], c=own[hot])
+        mid = np.flatnonzero((length >= 3) & (length <= HOT) & (hosts > 0))
+        if len(mid):
+            marks = np.add.reduceat(mix64(mix64(doc.astype(np.uint64)) + own), runs)[mid]
+            at = _ranges(runs[mid], length[mid])
+            at = at[np.lexsort((~own[at], np.repeat(np.arange(len(mid)), length[mid])))]
+            self.held.append((marks, hosts[mid], length[mid], doc[at]))
+            self.size += len(at)
+        if self.size > HELD:
+            yield from self._lists()
+
+    def _lists(self) -> Iterator[pa.RecordBatch]:
+        """Distinct lists, hosts first (their number in b), with the times that each was found (c)."""
+        if not self.held:
+            return
+        marks, hosts, sizes, doc = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        first = np.cumsum(sizes) - sizes
         marks, once, times = np.unique(marks, return_index=True, return_counts=True)
-        mid = mid[once]
-        sizes = length[mid]
-        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - runs[mid], sizes)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(doc[at]))
-        yield _rows(BUCKET, a=marks.view(np.int64), c=times, members=lists)
-    hot = np.repeat(length > HOT, length)
-    if hot.any():
-        yield _rows(HOT_ROW, a=key[hot], b=doc[hot])
+        sizes = sizes[once]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(doc[_ranges(first[once], sizes)]))
+        yield _rows(BUCKET, a=marks.view(np.int64), b=hosts[once], c=times, members=lists)
+
+
+def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one sorted shuffle partition: buckets of two as pairs, of 3 to HOT as lists, rows of larger ones; sets and copies pass."""
+    found = _Buckets()
+    for batch in batches:
+        key, doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        kind = tag & 3
+        at = np.flatnonzero(kind == SET)
+        if len(at):
+            known = tag[at] >> 2
+            yield _rows(SIZE, a=doc[at], b=known >> ROOM_BITS, c=known & ROOM_MAX, members=batch.column(3).take(pa.array(at)))
+        at = kind == COPY
+        if at.any():
+            yield _rows(SAME, a=doc[at], b=key[at])
+        at = kind < SET
+        yield from found.add(key[at], doc[at], kind[at] == OWN)
+    yield from found.end()
 
 
 def _jaccard(width: int, percent: int):
@@ -299,103 +386,62 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = 5, percent: int = 80)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(width, percent), "a long, b long, inter long, total long, linked boolean")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    for c in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}")), c)
-    return pairs.where((F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)).select("a", "b")
-
+def _similar_sketches(l: str, r: str, percent: int) -> Column:
+    """Sizes (n) and sketches (words) of two aliases allow the similarity."""
+    n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
+    bits = (F.bit_count(F.col(f"{l}.words")[k].bitwiseXOR(F.col(f"{r}.words")[k])) for k in range(SKETCH_BITS // 64))
+    return (n * percent <= m * 100) & (m * percent <= n * 100) & (reduce(add, bits) * (100 + percent) <= (n + m) * (100 - percent))
 
-def _emit_shingles(width: int):
-    """(doc_id, component, text) -> (shingle, doc, component)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, piece in text_slices(batch.column(2)):
-                h, bounds = shingle_sets(piece, width)
-                row = pa.array(first + np.repeat(np.arange(len(piece)), np.diff(bounds)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["shingle", "doc", "component"])
-
-    return run
 
+def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and sketches allow."""
+    with_a = pairs.join(sizes.select(F.col("doc").alias("a"), F.struct("n", "words").alias("x")), "a")
+    both = with_a.join(sizes.select(F.col("doc").alias("b"), F.struct("n", "words").alias("y")), "b")
+    return both.where(_similar_sketches("x", "y", percent)).select("a", "b").distinct()
 
-def _own_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(doc, own): how many of a document's shingles no member (doc, component) of another component has."""
-    texts = flag_ids(docs, members.select(F.col("doc").alias("id")), "maybe").where("maybe").join(members.withColumnRenamed("doc", "doc_id"), "doc_id")
-    rows = texts.select("doc_id", "component", "text").mapInArrow(_emit_shingles(width), "shingle long, doc long, component long")
-    rows = rows.distinct()
-    ends = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    own = rows.join(ends.where("x = y").select("shingle"), "shingle", "left_semi")
-    return own.groupBy("doc").agg(F.count("*").alias("own"))
 
+def _shared_rows(found: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(bucket, doc, own): documents in buckets of three or more that are not safe.
 
-def _shared_rows(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(bucket, doc): documents in buckets of three or more that are not safe.
-
-    A document is safe while it shares fewer partitions with two or more others than its
+    A document is safe while it shares fewer signatures with two or more others than its
     room: then it meets every partner in a bucket of two, which is compared anyway.
     """
-    lists = found.where(f"kind = {BUCKET}").select(F.col("a").alias("bucket"), F.col("c").cast("long").alias("times"), F.explode("members").alias("doc"))
-    hot = found.where(f"kind = {HOT_ROW}").select(F.col("a").alias("bucket"), F.lit(1).cast("long").alias("times"), F.col("b").alias("doc"))
-    rows = lists.unionByName(hot)
-    unsafe = rows.groupBy("doc").agg(F.sum("times").alias("shared")).join(sizes, "doc").where("shared >= room").select("doc")
-    return rows.select("bucket", "doc").join(unsafe, "doc", "left_semi").distinct()
+    lists = found.where(f"kind = {BUCKET}").groupBy(F.col("a").alias("bucket")).agg(F.sum("c").alias("times"), F.first("b").alias("hosts"), F.first("members").alias("members"))
+    lists = lists.select("bucket", "times", "hosts", F.posexplode("members").alias("at", "doc")).select("bucket", "times", "doc", (F.col("at") < F.col("hosts")).alias("own"))
+    hot = found.where(f"kind = {HOT_ROW}").select(F.col("a").alias("bucket"), F.lit(1).cast("long").alias("times"), F.col("b").alias("doc"), (F.col("c") == 1).alias("own"))
+    rows = lists.unionByName(hot.distinct())
+    unsafe = rows.groupBy("doc").agg(F.sum("times").alias("shared")).join(rooms, "doc").where("shared >= room").select("doc")
+    return rows.select("bucket", "doc", "own").join(unsafe, "doc", "left_semi")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(bucket, doc, center): the smallest document of each bucket is its centre."""
-    middle = rows.groupBy("bucket").agg(F.min("doc").alias("center"), F.max("doc").alias("_last")).where("center != _last").drop("_last")
-    return rows.join(middle, "bucket")
+    """(bucket, doc, own, center): the smallest document of each bucket that is no guest is its centre."""
+    middle = rows.groupBy("bucket").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("center"), F.count("*").alias("members"))
+    return rows.join(middle.where("center is not null and members > 1").select("bucket", "center"), "bucket")
 
 
-def _left_apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, doc, center, component, center_component) of every bucket that still holds more than one component.
+def _left_apart(stars: DataFrame, labels: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(bucket, doc, own, component) of every bucket that still holds more than one component.
 
-    What kept a document from its centre does not matter: a failed comparison or the sizes alone.
+    A document leaves out its largest buckets, one less than its room (all order buckets
+    alike, so the smallest bucket that a pair shares is kept by both).
     """
-    of = lambda name, as_: labels.select(F.col("id").alias(name), F.col("component").alias(as_))
-    rows = stars.join(of("doc", "component"), "doc", "left").join(of("center", "center_component"), "center", "left")
-    return _apart(rows.withColumns({"component": F.coalesce("component", "doc"), "center_component": F.coalesce("center_component", "center")}))
-
+    rows = stars.select("bucket", "doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "doc"))
+    ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y")
+    rows = rows.join(ends.select("bucket", "members"), "bucket").join(rooms, "doc")
+    hottest = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("members"), "bucket"))
+    return rows.withColumn("hottest", hottest).where("hottest >= room").select("bucket", "doc", "own", "component")
 
-def _across(docs, rows, sizes, tested, width: int, percent: int) -> DataFrame:
-    """Candidate pairs of documents that share a signature but are still in different components.
 
-    rows: as _left_apart.  A family of very many half-alike copies would make the square of
-    its size, so what is known without comparing excludes documents and pairs, exactly.
-    Shingles that no other component has (``own``) are differences to every partner.  Of
-    the shingles of the bucket's centre, x and y differ in at least the gap of the counts
-    that they lack; of the others, in at least the gap of the counts that they have there
-    and in the ``own`` ones of those of x and y that are not in the centre's component
-    (the centre may share the ``own`` shingles of its own component).
-    """
-    own = _own_shingles(docs, rows.select("doc", "component").distinct(), width)
-    rows = rows.join(own, "doc", "left").join(sizes, "doc").withColumn("own", F.coalesce("own", F.lit(0)))
-    rows = rows.where(F.col("own") * 100 <= F.col("n") * (100 - percent))
-    known = tested.select(F.col("a").alias("center"), F.col("b").alias("doc"), "total")
-    rows = rows.join(known, ["center", "doc"], "left").withColumn("lacks", F.when(F.col("center") == F.col("doc"), 0).otherwise(F.col("total") - F.col("n")))
-    rows = rows.withColumn("own_outside", F.when(F.col("component") == F.col("center_component"), 0).otherwise(F.col("own")))
-    rows = written(_apart(rows).select("bucket", "doc", "component", "n", "own", "own_outside", "lacks"), "apart")
+def _across(apart: DataFrame, sizes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a signature but are still in different components, if sizes and sketches allow their similarity."""
+    rows = apart.join(sizes.select("doc", "n", "words"), "doc")
     l, r = rows.alias("l"), rows.alias("r")
-    inside = F.coalesce(F.abs(F.col("l.lacks") - F.col("r.lacks")), F.lit(0))
-    outside = F.coalesce(F.abs(F.col("l.n") + F.col("l.lacks") - F.col("r.n") - F.col("r.lacks")), F.lit(0))
-    least = F.greatest(F.col("l.own") + F.col("r.own"), inside + F.greatest(outside, F.col("l.own_outside") + F.col("r.own_outside")))
-    return (
-        l.join(r, "bucket")
-        .where("l.component < r.component")
-        .where(F.col("l.n") * percent <= F.col("r.n") * 100)
-        .where(F.col("r.n") * percent <= F.col("l.n") * 100)
-        .where(least * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent))
-        .select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    )
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    return rows.join(ends.select("bucket"), "bucket", "left_semi")
+    once = F.when(F.col("r.own"), F.col("l.component") < F.col("r.component")).otherwise(F.col("l.component") != F.col("r.component"))
+    pairs = l.where("own").join(r, "bucket").where(once & _similar_sketches("l", "r", percent))
+    pairs = pairs.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -408,24 +454,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     real = thin.where("doc_id is not null")
-    signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key")
+    signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key").sortWithinPartitions("key", "doc", "tag")
     found = written(signatures.mapInArrow(_find_buckets, FOUND_SCHEMA), "buckets")
-    sizes = found.where(f"kind = {SIZE}").groupBy(F.col("a").alias("doc")).agg(F.max("b").alias("n"), F.min("c").alias("room"))
-    stars = written(_stars(_shared_rows(found, sizes)), "stars")
+    sizes = found.where(f"kind = {SIZE}").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("room"), F.col("members").alias("words"))
+    rooms = sizes.groupBy("doc").agg(F.min("room").alias("room"))
+    stars = written(_stars(_shared_rows(found, rooms)), "stars")
     pairs = found.where(f"kind = {PAIR}").select("a", "b").unionByName(stars.where("center != doc").select(F.col("center").alias("a"), F.col("doc").alias("b")))
-    pairs = _sized(pairs.distinct(), sizes, percent)
-    tested = written(verify(real, pairs, width, percent), "tested")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tested = written(verify(real, written(_possible(pairs, sizes, percent), "pairs"), width, percent), "tested")
     same = found.where(f"kind = {SAME}").select("a", "b")
     edges = same.unionByName(tested.where("linked").select("a", "b"))
     labels = written(components(edges), "labels")
-    apart = written(_left_apart(stars, labels), "apart")
+    apart = written(_left_apart(stars, labels, rooms), "apart")
     if not apart.isEmpty():
-        more = written(verify(real, written(_across(real, apart, sizes, tested, width, percent), "across"), width, percent), "tested")
+        more = written(verify(real, written(_across(apart, sizes, tested, percent), "across"), width, percent), "tested")
         more = more.where("linked")
         if not more.isEmpty():
             edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
             labels = written(components(edges), "labels")
-    result = found.where(f"kind = {SIZE}").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    result = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     result = result.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lost = thin.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -441,8 +488,9 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     groups = written(jaccard_components(docs, width, percent), "groups").where("doc_id is not null")
     gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("id"))
     repeated = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
-    flagged = flag_ids(docs, gone.unionByName(repeated), "_maybe")
-    sure = flagged.where("not _maybe").drop("_maybe")
-    unsure = flagged.where("_maybe").drop("_maybe").join(gone.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    unsure = unsure.withColumn("_text", F.xxhash64("text")).withColumn("_first", F.row_number().over(Window.partitionBy("doc_id").orderBy("_text")))
-    return sure.unionByName(unsure.where("_first = 1").select(*docs.columns))
+    maybe, text, first = (fresh_name() for _ in range(3))
+    flagged = flag_ids(docs, gone.unionByName(repeated), maybe)
+    sure = flagged.where(~F.col(maybe)).drop(maybe)
+    unsure = flagged.where(F.col(maybe)).drop(maybe).join(gone.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    unsure = unsure.withColumn(text, F.xxhash64("text")).withColumn(first, F.row_number().over(Window.partitionBy("doc_id").orderBy(text)))
+    return sure.unionByName(unsure.where(F.col(first) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -45,7 +45,7 @@ def excluded_family(rng: random.Random, small: str) -> list[set]:
     n = int(bands.edges[step]) + 2
     words = [f"{small}{k}" for k in range(20_000)]
     h = [int(shingle_sets(pa.array([w], pa.large_string()), 1)[0][0]) for w in words]
-    place = lambda k, band: ((h[k] >> 32) * int(bands.parts[band])) >> 32
+    place = lambda k, band: (((h[k] >> 32) * 3 * int(bands.groups[band])) >> 32) // 3
     more = list(range(6))  # what y has more than x
     low, high = ({place(k, b) for k in more} for b in (step - 1, step))
     rest = range(6, len(words))
