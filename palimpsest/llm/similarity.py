@@ -49,6 +49,8 @@ SKETCH_BITS = 1024
 HOT = 64
 #: Members of listed buckets that a task holds before it writes the distinct ones.
 HELD = 400_000
+#: Smaller buckets of a document that a row of it names.
+BEFORE = 8
 #: A size row packs the set's size and its room.
 ROOM_BITS = 20
 ROOM_MAX = (1 << ROOM_BITS) - 1
@@ -421,25 +423,30 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _left_apart(stars: DataFrame, labels: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(bucket, doc, own, component) of every bucket that still holds more than one component.
+    """(bucket, doc, own, component, before) of every bucket that still holds more than one component.
 
     A document leaves out its largest buckets, one less than its room (all order buckets
-    alike, so the smallest bucket that a pair shares is kept by both).
+    alike, so the smallest bucket that a pair shares is kept by both).  before: the next
+    smaller buckets of the document, up to BEFORE.
     """
     rows = stars.select("bucket", "doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc"))
     ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y")
     rows = rows.join(ends.select("bucket", "members"), "bucket").join(rooms, "doc")
-    hottest = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("members"), "bucket"))
-    return rows.withColumn("hottest", hottest).where("hottest >= room").select("bucket", "doc", "own", "component")
+    order = Window.partitionBy("doc").orderBy(F.desc("members"), "bucket")
+    rows = rows.withColumns({"hottest": F.row_number().over(order), "before": F.collect_list("bucket").over(order.rowsBetween(1, BEFORE))})
+    return rows.where("hottest >= room").select("bucket", "doc", "own", "component", "before")
 
 
 def _across(apart: DataFrame, sizes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a signature but are still in different components, if sizes and sketches allow their similarity."""
+    """Pairs that share a signature but are still in different components, if sizes and sketches allow their similarity.
+
+    A pair is left to an earlier bucket that both have (a row of its smallest one always stays).
+    """
     rows = apart.join(sizes.select("doc", "n", "words"), "doc")
     l, r = rows.alias("l"), rows.alias("r")
     once = F.when(F.col("r.own"), F.col("l.component") < F.col("r.component")).otherwise(F.col("l.component") != F.col("r.component"))
-    pairs = l.where("own").join(r, "bucket").where(once & _similar_sketches("l", "r", percent))
+    pairs = l.where("own").join(r, "bucket").where(once & _similar_sketches("l", "r", percent) & ~F.arrays_overlap("l.before", "r.before"))
     pairs = pairs.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
