@@ -15,45 +15,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import SLICE_BYTES, encoder
 from palimpsest.llm.wordhash import text_slices
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def binary_pieces(total: int, longest: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``total`` tokens: full ones, then binary digits, largest first."""
-    out, at = [], 0
-    while total - at >= longest:
-        out.append((at, longest))
-        at += longest
-    size = longest >> 1
-    while at < total:
-        if total - at >= size:
-            out.append((at, size))
-            at += size
-        size >>= 1
-    return out
+def piece_lengths(totals: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, length) of the pieces of sets of ``totals`` tokens in order: full ones, then binary digits, largest first."""
+    digits = longest >> np.arange(1, longest.bit_length())
+    rest, digit = np.nonzero((totals % longest)[:, None] & digits)
+    full = np.repeat(np.arange(len(totals)), totals // longest)
+    owner, length = np.concatenate([full, rest]), np.concatenate([np.full(len(full), longest), digits[digit]])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], length[order]
 
 
 def _emit(path: str, longest: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        own = encoder(path)
         for batch in batches:
-            for first, texts in text_slices(batch.column(1)):
-                source, start, length, totals, lists = [], [], [], [], []
-                for k, ids in enumerate(encode(texts.to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for at, size in binary_pieces(n, longest):
-                        source.append(first + k)
-                        start.append(at)
-                        length.append(size)
-                        totals.append(n)
-                        lists.append(ids[4 * at : 4 * (at + size)])
+            for first, texts in text_slices(batch.column(1), SLICE_BYTES):
+                ids, totals = own.encode_with_end(texts, end_id)
+                owner, length = piece_lengths(totals, longest)
+                ends = np.cumsum(length)
+                start = ends - length - (np.cumsum(totals) - totals)[owner]
+                pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(source, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, totals)), pa.array(lists, pa.binary())],
+                    [batch.column(0).take(pa.array(first + owner)), *(pa.array(x.astype(np.int64)) for x in (start, length, totals[owner])), pieces.cast(pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
@@ -76,6 +65,16 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: i
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with those of one length together: partitions sorted by length, so that a batch of rows is a matrix without padding.
+
+    The rows are dealt by length and a hash of the piece, so that a frequent length fills many partitions.
+    """
+    n = pieces.sparkSession.sparkContext.defaultParallelism
+    dealt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(2, n)))
+    return pieces.repartition("length", dealt).sortWithinPartitions(F.desc("length"))
+
+
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Write packed pieces as Parquet, one folder for each length (``length=1024/`` ...)."""
-    pieces.write.partitionBy("length").parquet(path)
+    bucketed(pieces).write.partitionBy("length").parquet(path)

@@ -261,7 +261,7 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Buckets:
-    """Buckets of one shuffle partition, from rows in (key, doc, tag) order; only the last key's rows and lists of small buckets are held."""
+    """Buckets of one shuffle partition, from rows in key order; only the last key's rows and lists of small buckets are held."""
 
     def __init__(self):
         self.rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
@@ -293,6 +293,8 @@ class _Buckets:
         yield from self._lists()
 
     def _settle(self, key, doc, own) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((~own, doc, key))
+        key, doc, own = key[order], doc[order], own[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         key, doc, own = key[fresh], doc[fresh], own[fresh]
@@ -461,7 +463,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     real = thin.where("doc_id is not null")
-    signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key").sortWithinPartitions("key", "doc", "tag")
+    signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key").sortWithinPartitions("key")
     found = written(signatures.mapInArrow(_find_buckets, FOUND_SCHEMA), "buckets")
     sizes = found.where(f"kind = {SIZE}").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("room"), F.col("members").alias("words"))
     rooms = sizes.groupBy("doc").agg(F.min("room").alias("room"))

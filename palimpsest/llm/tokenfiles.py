@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import SLICE_BYTES, encoder
 from palimpsest.llm.wordhash import text_slices
 
 SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
@@ -25,15 +25,12 @@ SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        own = encoder(path)
         for batch in batches:
-            for first, texts in text_slices(batch.column(1)):
-                ids = [x + end for x in encode(texts.to_pylist())]
-                sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
-                values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes), lists], names=["doc_id", "n_tokens", "tokens"])
+            for first, texts in text_slices(batch.column(1), SLICE_BYTES):
+                ids, sizes = own.encode_with_end(texts, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
 
     return run
 
@@ -90,6 +87,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: start counts the ids of all rows before.
 
+    Null doc_ids come first and repeated ones follow one another, as they were written; no
+    file, or files without rows, give no row.
     Only lengths (no tokens) are read for the files' bases: one row a file meets in one
     task; within a file the running sum follows the rows' order.
     """

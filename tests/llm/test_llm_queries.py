@@ -137,7 +137,6 @@ def test_op6(spark, sf, docs):
 
 def tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
