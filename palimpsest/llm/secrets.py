@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import flag_ids, shared_dir
+from palimpsest.llm.shared import flag_ids, fresh_name, shared_dir
 
 
 @dataclass(frozen=True)
@@ -110,11 +110,13 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     seen = _ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob")
     unseen = paths.groupBy("blob").agg(F.min(key).alias("path")).join(seen, "blob", "left_anti")
-    chosen = flag_ids(texts.withColumn("doc_id", key), unseen.select(F.col("path").alias("id")), "_maybe").where("_maybe")
+    chosen = flag_ids(texts.withColumn("doc_id", key), unseen.select(F.col("path").alias("id")), "maybe").where("maybe")
     found = chosen.select(F.col("doc_id").alias("path"), F.unhex(F.sha2("text", 256)).alias("blob"), find_spans("text", rules).alias("spans"))
     found = found.join(unseen, ["blob", "path"], "left_semi").dropDuplicates(["blob"])
     found.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)
     known = _ledger(spark, ledger_path).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    # two scans at a time may both have added a blob
+    known = known.dropDuplicates(["blob"])
     joined = paths.join(known, "blob", "left")
     return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
@@ -126,15 +128,17 @@ def redact_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple
     finding pass as they are and are not shuffled; nulls stay null.
     """
     found = scan_secrets(docs, ledger_path, rules).where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "blob"])
-    flagged = flag_ids(docs.where("doc_id is not null"), found.select(F.col("doc_id").alias("id")), "_maybe")
-    sure = flagged.where("not _maybe").drop("_maybe")
+    maybe, own_blob, own_spans = (fresh_name() for _ in range(3))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    flagged = flag_ids(docs.where("doc_id is not null"), found.select(F.col("doc_id").alias("id")), maybe)
+    sure = flagged.where(~F.col(maybe)).drop(maybe)
     blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    spans = found.select(F.col("doc_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    unsure = flagged.where("_maybe").withColumn("_blob", blob).join(spans, ["doc_id", "_blob"], "left")
+    spans = found.select(F.col("doc_id"), F.col("blob").alias(own_blob), F.col("spans").alias(own_spans))
+    unsure = flagged.where(F.col(maybe)).withColumn(own_blob, blob).join(spans, ["doc_id", own_blob], "left")
     # a row without an id is scanned in place
     nameless = find_spans("text", rules)
-    nameless = docs.where("doc_id is null").withColumn("_spans", F.when(F.size(nameless) > 0, nameless))
-    unsure = unsure.select(*docs.columns, "_spans").unionByName(nameless)
+    nameless = docs.where("doc_id is null").withColumn(own_spans, F.when(F.size(nameless) > 0, nameless))
+    unsure = unsure.select(*columns, own_spans).unionByName(nameless)
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -144,8 +148,8 @@ def redact_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", begin, cut, end)).otherwise(F.col("text"))
+    clean = F.when(F.col(own_spans).isNotNull(), F.aggregate(own_spans, begin, cut, end)).otherwise(F.col("text"))
     unsure = unsure.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        unsure = unsure.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return sure.unionByName(unsure.select(*docs.columns))
+        unsure = unsure.withColumn("n_chars", F.when(F.col(own_spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return sure.unionByName(unsure.select(*columns))

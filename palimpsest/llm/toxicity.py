@@ -10,9 +10,11 @@ its length, gives a score from 0 to 1 through a logistic curve.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -93,7 +95,9 @@ class Lexicon:
             elif weight > best.get(begin, 0.0):
                 best[begin] = weight
         if spared:
-            best = {b: w for b, w in best.items() if not any(x <= b < y for x, y in spared)}
+            begins, stops = zip(*sorted(spared), strict=True)
+            reach = list(accumulate(stops, max))
+            best = {b: w for b, w in best.items() if not ((k := bisect_right(begins, b)) and b < reach[k - 1])}
         if not best:
             return 0.0, 0.0
         total = sum(best.values())
@@ -150,12 +154,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 6_000, least: int = 3, floor: float = 2.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least: int = 3, floor: float = 2.0) -> Lexicon:
     """A lexicon from labelled documents (labels: doc_id, toxic) that are not held out.
 
     Bounded sample: about ``max_rows`` labelled rows, chosen by a hash of doc_id, so the
-    ids broadcast to find their texts, the lexicon (``max_entries``) and the points of the
-    curve do not grow with the input.  The curve is fitted on scores of each half of the
+    ids broadcast to find their texts, the lexicon (all of the sample's entries that count)
+    and the points of the curve do not grow with the input.  The curve is fitted on scores of each half of the
     sample under the lexicon of the other half.  Labels that are null are left out; of
     several labels of a doc_id the highest counts.  Without both labels the lexicon is empty.
     """
@@ -175,7 +179,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, ma
     counts = sample.mapInArrow(_count_entries, "entry string, c0 long, c1 long, t0 long, t1 long").groupBy("entry").agg(*(F.sum(x).alias(x) for x in ("c0", "c1", "t0", "t1")))
     counts = counts.withColumns({"t": F.col("t0") + F.col("t1"), "c": F.col("c0") + F.col("c1")})
     odds = F.log((F.col("t") + 0.5) / (t0 + t1 + 1)) - F.log((F.col("c") + 0.5) / (c0 + c1 + 1))
-    found = counts.where((F.col("t") >= least) & (odds >= floor)).orderBy(F.desc(F.col("t") * odds), "entry").limit(max_entries).toPandas()
+    found = counts.where((F.col("t") >= least) & (odds >= floor)).toPandas()
     halves = [Lexicon(_weigh(found, t1, c1, "t1", "c1", 2, floor)), Lexicon(_weigh(found, t0, c0, "t0", "c0", 2, floor))]
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
