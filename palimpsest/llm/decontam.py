@@ -1,20 +1,22 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-Numbers, units after numbers and names inside sentences become typed placeholders, case
-and punctuation go, and windows of five template words are hash-joined with those of the
-benchmark.  All windows of a document are probed, at every offset.  Documents that a probe
-finds are compared in full, and the values that stand in the slots of the matching windows
-must replace those of the item consistently.
+Numbers, units after numbers and capitalised words become typed placeholders wherever they
+stand, case and punctuation go, and windows of five template words, two plain ones among
+them, are hash-joined with those of the benchmark.  All windows of a document are probed,
+at every offset.  Documents that a probe finds are compared in full, and the values that
+stand in the slots of the matching windows must replace those of the item consistently.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import flag_ids, written
 
 WIDTH = 5
+#: Plain words that a window needs, so that rows of names or numbers match nothing.
+PLAIN = 2
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 # Units that may follow a number.
 UNITS = (
@@ -24,9 +26,9 @@ UNITS = (
     "w kw kwh v a ohm hz khz mhz ghz pa kpa bar j kj cal kcal n c f k percent dollars dollar cents cent euros euro usd eur gbp mph kmh"
 )
 _UNIT = "(?i:" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + ")"
-_NUMBERS = rf"(?<![\p{{L}}\p{{N}}])([0-9]+(?:[.,][0-9]+)*)(?:\s?({_UNIT})(?![\p{{L}}\p{{N}}]))?"
-_NAMES = r"(?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)"
-_JUNK = rf"(?:[^\p{{L}}\p{{N}}.,{NUMBER}-{NAME}]|[.,](?![0-9])|(?<![0-9])[.,])+"
+_NUMBERS = rf"(?<![\p{{L}}\p{{N}}])([0-9]++(?:[.,][0-9]++)*+)(?:\s?({_UNIT})(?![\p{{L}}\p{{N}}]))?"
+_NAMES = rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{NAME}])(\p{{Lu}}\p{{L}}+)"
+_JUNK = rf"(?:[^\p{{L}}\p{{N}}.,{NUMBER}-{NAME}]|[.,](?![0-9])|(?<![0-9])[.,])++"
 #: Texts beyond this many characters in all are not broadcast.
 BROADCAST_CHARS = 16_000_000
 
@@ -36,7 +38,7 @@ def valued_template(text: Column) -> Column:
     marked = F.regexp_replace(text, _NUMBERS, f" {NUMBER}$1 {UNIT}$2 ")
     marked = F.regexp_replace(marked, f"{UNIT} ", "")
     text = F.when(text.rlike("[0-9]"), marked).otherwise(text)
-    text = F.regexp_replace(text, _NAMES, f"{NAME}$1")
+    text = F.regexp_replace(text, _NAMES, f" {NAME}$1")
     return F.trim(F.regexp_replace(F.lower(text), _JUNK, " "))
 
 
@@ -63,21 +65,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_percent: int = 40,
     A pair is returned if at least ``least_percent`` % (and ``least_windows``) of the item's
     five-word template windows occur in the document on alignments whose slot values are
     consistent: each value of the item is replaced by one value only.  reparameterised: some
-    slot has another value than in the item.  Items of fewer than five words, null texts
-    and rows with a null doc_id or item_id match nothing; rows that repeat a doc_id count
+    slot has another value than in the item.  Windows with fewer than PLAIN plain words are
+    not counted; items without others (or of fewer than five words), null and empty texts and rows with a null doc_id or item_id match nothing; rows that repeat a doc_id count
     as one document; other columns are ignored; an empty table gives an empty result.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.dropDuplicates(["item_id"])
     items = _split(items, ["item_id"]).where(F.size("words") >= WIDTH)
-    known = items.select("item_id", "values", F.size("words").alias("n"), _windows("words")).withColumnRenamed("pos", "item_pos")
+    known = items.select("item_id", "values", _windows("words")).withColumnRenamed("pos", "item_pos")
+    known = known.where(F.size(F.filter(F.split("window", " "), lambda w: ~w.isin(NUMBER, UNIT, NAME))) >= PLAIN)
+    known = known.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
     size = items.agg(F.sum(F.length(F.array_join("words", " "))).alias("chars")).first()
     few = (size["chars"] or 0) <= BROADCAST_CHARS
     small = F.broadcast if few else (lambda df: df)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     flat = texts.select("doc_id", template(valued_template(F.col("text"))).alias("flat"))
-    chunk = F.lit(rf"(?:[^ ]+ ){{{WIDTH - 1}}}[^ ]+")
-    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]+ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in range(WIDTH)))
+    # tried at word starts only and without backtracking, so a long word costs its length
+    chunk = F.lit(rf"(?<![^ ])(?:[^ ]++ ){{{WIDTH - 1}}}[^ ]++")
+    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]++ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in range(WIDTH)))
     probed = flat.select("doc_id", F.explode(probes).alias("window")).join(small(known.select("window").distinct()), "window", "left_semi").select("doc_id").distinct()
     # several joins read these few ids; unwritten, each would probe all texts again
     probed = written(probed, "probed")
@@ -100,6 +105,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_percent: int = 40,
         F.coalesce(F.max("slots"), F.lit(0)).cast("long").alias("n_slots"),
         (F.coalesce(F.max("changed"), F.lit(0)) > 0).alias("reparameterised"),
     )
-    pairs = pairs.withColumn("n_windows", (F.col("n") - WIDTH + 1).cast("long"))
+    pairs = pairs.withColumn("n_windows", F.col("n"))
     kept = pairs.where((100 * F.col("n_matched") >= least_percent * F.col("n_windows")) & (F.col("n_matched") >= F.least(F.lit(least_windows), F.col("n_windows"))))
     return kept.select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "reparameterised")
