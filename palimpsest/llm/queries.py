@@ -27,16 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Arrivals that op1 cuts the input files into.
+#: Arrivals that op1 cuts the input into.
 ARRIVALS = 16
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The input's files arrive in up to ARRIVALS groups; the rows come from the compacted store."""
-    files = sorted(table(spark, sf_dir, "documents").inputFiles())
+    """The input arrives in ARRIVALS groups of files (of rows by a hash of doc_id, where it has fewer files); the rows come from the compacted store."""
+    docs = table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
     store = ShardStore(spark, f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}", target_bytes=128 << 20, fan_in=4)
-    for k in range(min(ARRIVALS, len(files))):
-        store.append(spark.read.parquet(*files[k::ARRIVALS]))
+    for k in range(ARRIVALS):
+        part = spark.read.parquet(*files[k::ARRIVALS]) if len(files) >= ARRIVALS else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k)
+        store.append(part)
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
