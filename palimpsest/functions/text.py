@@ -84,16 +84,22 @@ def extracted_importance(text: Column, n_entities: Column) -> Column:
     return F.least(F.lit(1.0), 0.5 + F.least(n_entities * 0.05, F.lit(0.2)) + bonus)
 
 
+def letter_counts(text: Column) -> Column:
+    """Length of a text and its letters of three scripts, to be summed over texts."""
+    count = lambda ranges: F.regexp_count(text, F.lit(ranges))
+    return F.struct(F.length(text).alias("n"), count(r"[一-鿿㐀-䶿]").alias("zh"), count(r"[Ѐ-ӿ]").alias("ru"), count(r"[؀-ۿ]").alias("ar"))
+
+
+def language_of(n: Column, zh: Column, ru: Column, ar: Column) -> Column:
+    """T12 from letter counts: zh over 10 % CJK, then ru, ar, else en."""
+    over = lambda letters: letters / F.greatest(n, F.lit(1)) > 0.1
+    return F.when(over(zh), "zh").when(over(ru), "ru").when(over(ar), "ar").otherwise("en")
+
+
 def language(text: Column) -> Column:
-    """Zh over 10 % CJK, then ru, ar, else en."""
-    n = F.greatest(F.length(text), F.lit(1))
-    share = lambda ranges: F.regexp_count(text, F.lit(ranges)) / n
-    return (
-        F.when(share(r"[一-鿿㐀-䶿]") > 0.1, "zh")
-        .when(share(r"[Ѐ-ӿ]") > 0.1, "ru")
-        .when(share(r"[؀-ۿ]") > 0.1, "ar")
-        .otherwise("en")
-    )
+    """T12."""
+    c = letter_counts(text)
+    return language_of(c["n"], c["zh"], c["ru"], c["ar"])
 
 
 def jaccard(a: Column, b: Column) -> Column:

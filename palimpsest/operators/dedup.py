@@ -67,12 +67,18 @@ def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
 def near_texts(memories: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs (a, b, jaccard) of texts with Jaccard of white-space tokens >= least, exact.
 
-    Prefix filter: tokens ordered from rare to frequent; similar sets share one of their
-    first (1 - least) * n + 1 tokens, so only those are joined.
+    Texts of one token set are a class: its smallest id is paired with each other member (1.0)
+    and stands for them in the pairs of different sets, so copies make no square.  Prefix
+    filter: tokens ordered from rare to frequent; similar sets share one of their first
+    (1 - least) * n + 1 tokens, so only those are joined.  Texts without tokens pair nothing.
     """
     from palimpsest.functions.text import space_tokens
 
-    words = memories.select("id", space_tokens(F.col("content")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    sets = memories.select("id", F.array_sort(space_tokens(F.col("content"))).alias("w")).where(F.size("w") > 0)
+    sets = sets.withColumn("mark", F.sha2(F.array_join("w", "\n"), 256))
+    first = sets.groupBy("mark").agg(F.min("id").alias("head"))
+    copies = sets.select("id", "mark").join(first, "mark").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    words = sets.join(first, [sets.mark == first.mark, sets.id == first["head"]], "left_semi").select("id", "w", F.size("w").alias("n"))
     rows = words.select("id", "n", F.explode("w").alias("word"))
     freq = rows.groupBy("word").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "word")
@@ -80,9 +86,10 @@ def near_texts(memories: DataFrame, least: float = 0.9) -> DataFrame:
     a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word")
     b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
     pairs = a.join(b, "word").where("a < b").where((F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select("a", "b").distinct()
-    text = memories.select("id", "content")
-    full = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
-    return full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= least)
+    full = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    scored = full.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least).unionByName(copies)
 
 
 def bands(matches: DataFrame, skip: float = 0.95, conflict: float = 0.75) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Graph operators over edge tables (G01-G16).  edges: source_id, target_id, relation_type, weight."""
+"""Graph operators over edge tables (G01-G16, J05).  edges: source_id, target_id, relation_type, weight."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import space_tokens
 from palimpsest.functions.vector import cosine
-from palimpsest.operators.retrieval import first_n
+from palimpsest.operators.retrieval import first_n, unit_rows
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -114,17 +118,67 @@ def co_occurrence(lists: DataFrame, entities: str = "entity_ids") -> DataFrame:
     return rows.select(F.col("p.a").alias("source_id"), F.col("p.b").alias("target_id"), F.lit("co_occurs").alias("relation_type"), F.lit(0.5).alias("weight"))
 
 
-def connections(memories: DataFrame, stop_words: tuple[str, ...] = (), most: int = 50) -> DataFrame:
-    """Pairs of memories (id, words) with three or more common words, scored min(.9, .5 + .05 n).
+#: Rows of one side of a block that a task compares with another block.
+BLOCK = 2000
 
-    The join is on words; words of more than ``most`` memories pair nothing (they are no theme).
+
+def candidate_pairs(memories: DataFrame, least: float = 0.7, most: int = 50) -> DataFrame:
+    """The ``most`` best pairs (a, b, score) of memories (id, vector, tags, memory_type) with cosine >= least.
+
+    score: cosine, and .05 more each for other tags and another type.  Vectors are dealt into
+    blocks of about BLOCK rows and each pair of blocks is one task's matrix product, so no
+    task holds more than two blocks; what is compared is every pair, as the rule asks.
+    """
+    rows = memories.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), F.hash(F.array_sort(F.array_distinct("tags"))).alias("tags"), F.hash("memory_type").alias("type"))
+    n = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    dealt = rows.withColumn("task", F.explode(others)).select("task.i", "task.j", "block", "id", "vector", "tags", "type")
+    kind = memories.schema["id"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        t = table.combine_chunks()
+        ids, tags, types = t["id"].combine_chunks(), t["tags"].to_numpy(), t["type"].to_numpy()
+        block, lists = t["block"].to_numpy(), t["vector"].combine_chunks()
+        out = []
+        for size in np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False)):
+            at, unit = unit_rows(lists, int(size))
+            left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
+            score = unit[left] @ unit[right].T
+            x, y = np.nonzero(score >= least)
+            score, x, y = score[x, y], at[left[x]], at[right[y]]
+            once = x < y if i == j else np.ones(len(x), bool)
+            x, y, score = x[once], y[once], score[once]
+            out.append((x, y, score + 0.05 * (tags[x] != tags[y]) + 0.05 * (types[x] != types[y])))
+        x, y, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        x, y = ids.take(pa.array(x)), ids.take(pa.array(y))
+        less = pc.less(x, y)
+        return pa.table({"a": pc.if_else(less, x, y), "b": pc.if_else(less, y, x), "score": score})
+
+    pairs = dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, score double")
+    return pairs.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(most)
+
+
+# Words that make no theme.
+STOP_WORDS = "the a an is are was were be been being to of and in on at for with as by it this that".split()
+
+
+def connections(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, connection_type, n_shared, strength) of the candidate pairs (a, b) that are connected.
+
+    A common entity makes a compositional link of .6; else three or more common words
+    (lower case, between white space, no stop words) a thematic one of min(.9, .5 + .05 n).
+    memories: id, content, entity_ids.  Words are compared for the candidates alone.
     """
-    words = memories.select("id", F.explode(F.array_distinct(F.col("words"))).alias("word")).where(~F.col("word").isin(list(stop_words)) if stop_words else F.lit(True))
-    rare = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
-    w = words.join(rare, "word", "left_semi")
-    a, b = w.select(F.col("id").alias("a"), "word"), w.select(F.col("id").alias("b"), "word")
-    pairs = a.join(b, "word").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
-    return pairs.select("a", "b", "shared", F.least(F.lit(0.9), 0.5 + 0.05 * F.col("shared")).alias("strength"))
+    m = memories.select("id", space_tokens(F.coalesce("content", F.lit(""))).alias("w"), F.coalesce("entity_ids", F.array().cast("array<string>")).alias("e"))
+    both = pairs.select("a", "b").distinct().join(m.toDF("a", "wa", "ea"), "a").join(m.toDF("b", "wb", "eb"), "b")
+    words = F.size(F.array_except(F.array_intersect("wa", "wb"), F.array(*map(F.lit, STOP_WORDS))))
+    common = F.size(F.array_intersect("ea", "eb"))
+    kind = F.when(common > 0, "compositional").when(words >= 3, "thematic")
+    shared = F.when(common > 0, common).otherwise(words)
+    strength = F.when(common > 0, 0.6).otherwise(F.least(F.lit(0.9), 0.5 + 0.05 * words))
+    return both.select("a", "b", kind.alias("connection_type"), shared.cast("long").alias("n_shared"), strength.alias("strength")).where("connection_type is not null")
 
 
 def top_neighbours(edges: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,37 +24,38 @@ def first_n(rows: DataFrame, n: int, by: list[str], *order: Column) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _unit_rows(lists: pa.Array) -> np.ndarray:
-    """Rows of a list column over their norms; zero, null or odd-sized rows become NaN-free zeros."""
-    rows = lists.to_pylist()
-    size = max((len(r) for r in rows if r), default=0)
-    out = np.zeros((len(rows), size))
-    for k, r in enumerate(rows):
-        if r and len(r) == size:
-            out[k] = r
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+def unit_rows(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, unit rows) of the lists of ``size`` numbers; a zero row, or one with a null, is zeros."""
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == size)
+    values = pc.fill_null(lists.take(pa.array(at)).flatten().cast(pa.float64()), float("nan"))
+    rows = values.to_numpy(zero_copy_only=False).reshape(len(at), size)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return at, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _matrix_scan(queries: list, matrix: np.ndarray, k: int | None, least: float | None, id_type: pa.DataType, query_type: pa.DataType):
-    """(id, vector) batches -> (query_id, id, score): a batch's best k of each query, or all from ``least`` on."""
+def _matrix_scan(sized: list[tuple[list, np.ndarray]], k: int | None, least: float | None, query_type: pa.DataType):
+    """(id, vector) batches -> (query_id, id, score): a batch's best k of each query, or all from ``least`` on.
+
+    sized: (query ids, matrix) of each length of query vectors; rows of another length are not compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _unit_rows(batch.column(1))
-            if not len(vectors) or vectors.shape[1] != matrix.shape[1]:
-                continue
-            scores = vectors @ matrix.T
-            if k is not None and len(scores) > k:
-                cut = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                row, col = np.nonzero(scores >= cut)
-            elif least is not None:
-                row, col = np.nonzero(scores >= least)
-            else:
-                row, col = np.nonzero(np.ones_like(scores, bool))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([queries[c] for c in col.tolist()], query_type), batch.column(0).take(pa.array(row)), pa.array(scores[row, col])], names=["query_id", "id", "score"]
-            )
+            for ids, matrix in sized:
+                at, vectors = unit_rows(batch.column(1), matrix.shape[1])
+                if not len(at):
+                    continue
+                scores = vectors @ matrix.T
+                if k is not None and len(scores) > k:
+                    cut = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                    row, col = np.nonzero(scores >= cut)
+                elif least is not None:
+                    row, col = np.nonzero(scores >= least)
+                else:
+                    row, col = np.nonzero(np.ones_like(scores, bool))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[c] for c in col.tolist()], query_type), batch.column(0).take(pa.array(at[row])), pa.array(scores[row, col])], names=["query_id", "id", "score"]
+                )
 
     return run
 
@@ -61,7 +63,7 @@ def _matrix_scan(queries: list, matrix: np.ndarray, k: int | None, least: float
 def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, least: float | None = None) -> DataFrame:
     """(query_id, id, score) by cosine, the exact best k or all scores from ``least`` on.
 
-    queries: query_id, vector; corpus: id, vector.  Queries come in blocks of BLOCK rows that
+    queries: query_id, vector; corpus: id, vector; only vectors of one length are compared.  Queries come in blocks of BLOCK rows that
     the driver holds; the corpus is read once a block and never shuffled: each batch keeps
     its best k of each query, and only those meet for the final ranks.
     """
@@ -77,8 +79,9 @@ def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, le
         block = numbered.where(F.col("_block") == b).orderBy("query_id").toPandas()
         if not len(block):
             continue
-        matrix = _unit_rows(pa.array([list(map(float, v)) for v in block["vector"]]))
-        scan = _matrix_scan(block["query_id"].tolist(), matrix, k, least, None, arrow[0])
+        vectors, ids = pa.array([list(map(float, v)) for v in block["vector"]], pa.list_(pa.float64())), block["query_id"].tolist()
+        sized = [([ids[j] for j in at], rows) for at, rows in (unit_rows(vectors, n) for n in sorted({len(v) for v in block["vector"]}))]
+        scan = _matrix_scan(sized, k, least, arrow[0])
         out = out.unionByName(corpus.select("id", "vector").where("vector is not null").mapInArrow(scan, kinds))
     if k is None:
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import entities, extracted_importance, language, memory_type, sentences, tags
+from palimpsest.functions.text import entities, extracted_importance, language_of, letter_counts, memory_type, sentences, tags
 from palimpsest.operators.dedup import greedy_groups, merge_groups
 from palimpsest.operators.lifecycle import decayed
 
@@ -24,8 +24,11 @@ def extract(texts: DataFrame, least_chars: int = 5) -> DataFrame:
 
 def statements(conversations: DataFrame, least_chars: int = 5) -> DataFrame:
     """(conv_id, turn, n, content, role, lang, memory_type, confidence) of all turns."""
-    whole = conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 2000)), " ").alias("_t"))
-    lang = whole.select("conv_id", language(F.col("_t")).alias("lang"))
+    # the language is that of all turns' texts with a space between them
+    c = letter_counts(F.col("text"))
+    counts = conversations.where("text <> ''").select("conv_id", c.alias("c")).groupBy("conv_id").agg(*(F.sum(f"c.{x}").alias(x) for x in ("n", "zh", "ru", "ar")), F.count("*").alias("turns"))
+    known = counts.select("conv_id", language_of(F.col("n") + F.col("turns") - 1, F.col("zh"), F.col("ru"), F.col("ar")).alias("lang"))
+    lang = conversations.select("conv_id").distinct().join(known, "conv_id", "left").select("conv_id", F.coalesce("lang", F.lit("en")).alias("lang"))
     rows = conversations.join(lang, "conv_id").select("conv_id", "turn", "role", "lang", F.posexplode(F.filter(sentences(F.col("text")), lambda s: F.length(s) >= least_chars)).alias("n", "content"))
     low = F.lower("content")
     kind = F.when(low.rlike("prefer|like|love|hate|want"), "preference").when(low.rlike("how to|step|first|then"), "procedural").when(low.rlike("yesterday|today|ago|last"), "episodic").when(low.rlike(r"\bis\b|\bare\b|\bwas\b"), "fact").otherwise("semantic")

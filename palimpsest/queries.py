@@ -443,12 +443,41 @@ _SPACE_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s
 
 
 @query(
-    f"""WITH w AS (SELECT item_id AS id, {_SPACE_TOKENS.format("text")} AS w FROM benchmark)
- SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.2 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"""
+    MEMORIES
+    + f""", w AS (SELECT id, list_sort({_SPACE_TOKENS.format("content")}) AS w FROM m), h AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS head FROM w WHERE len(w) > 0),
+ t AS (SELECT id, len(w) AS n, unnest(w) AS word FROM h WHERE id = head), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY 1, 2)
+ SELECT a, b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 0.9 UNION ALL SELECT head, id, 1.0 FROM h WHERE id <> head"""
 )
 def c04_near_texts(spark, sf):
-    m = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    return dedup.near_texts(m, 0.2).withColumn("jaccard", F.round("jaccard", 6))
+    return dedup.near_texts(memories(spark, sf), 0.9).withColumn("jaccard", F.round("jaccard", 6))
+
+
+_PAIRS = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine, CASE WHEN a.label <> b.label THEN 0.1 ELSE 0.0 END AS more FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+ c AS (SELECT a, b, cosine + more AS score FROM p WHERE cosine >= 0.4 ORDER BY round(score, 9) DESC, a, b LIMIT 50)"""
+
+
+def _candidate_pairs(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.array(F.col("label").cast("string")).alias("tags"), F.col("label").alias("memory_type"))
+    return graph.candidate_pairs(e, 0.4, 50)
+
+
+@query(_PAIRS + " SELECT a, b, round(score, 5) AS score FROM c")
+def j05_candidate_pairs(spark, sf):
+    return _candidate_pairs(spark, sf).withColumn("score", F.round("score", 5))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in graph.STOP_WORDS)
+
+
+@query(
+    MEMORIES
+    + f""", c AS ({_PAIRS} SELECT a, b FROM c), w AS (SELECT id, list_filter({_SPACE_TOKENS.format("content")}, lambda x: x NOT IN ({_STOPS})) AS w, entity_ids AS e FROM m),
+ s AS (SELECT c.a, c.b, len(list_intersect(x.w, y.w)) AS words, len(list_intersect(x.e, y.e)) AS common FROM c JOIN w x ON x.id = c.a JOIN w y ON y.id = c.b)
+ SELECT a, b, CASE WHEN common > 0 THEN 'compositional' ELSE 'thematic' END AS connection_type, CASE WHEN common > 0 THEN common ELSE words END AS n_shared,
+ round(CASE WHEN common > 0 THEN 0.6 ELSE least(0.9, 0.5 + 0.05 * words) END, 6) AS strength FROM s WHERE common > 0 OR words >= 3"""
+)
+def g15_connections(spark, sf):
+    return graph.connections(memories(spark, sf), _candidate_pairs(spark, sf)).withColumn("strength", F.round("strength", 6))
 
 
 # --- scoring and lifecycle ------------------------------------------------------------
@@ -634,9 +663,13 @@ def c01_greedy_groups(spark, sf):
     return dedup.greedy_groups(e, 0.4)
 
 
-@query(f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x, '{text.WHITE}')), lambda x: length(x) >= 5)) AS s FROM conversations) GROUP BY 1")
+@query(
+    f"""WITH s AS (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？\n.!?]'), lambda x: trim(x, '{text.WHITE}')), lambda x: length(x) >= 5)) AS s FROM conversations),
+ l AS (SELECT conv_id, string_agg(text, ' ') AS t FROM conversations WHERE text <> '' GROUP BY 1), c AS (SELECT conv_id, length(t) AS n, len(regexp_extract_all(t, '[一-鿿㐀-䶿]')) AS zh, len(regexp_extract_all(t, '[Ѐ-ӿ]')) AS ru, len(regexp_extract_all(t, '[؀-ۿ]')) AS ar FROM l)
+ SELECT conv_id, CASE WHEN zh > 0.1 * n THEN 'zh' WHEN ru > 0.1 * n THEN 'ru' WHEN ar > 0.1 * n THEN 'ar' ELSE 'en' END AS lang, count(*) AS n FROM s LEFT JOIN c USING (conv_id) GROUP BY conv_id, zh, ru, ar, c.n"""
+)
 def t11_statements(spark, sf):
-    return remember.statements(table(spark, sf, "conversations")).groupBy("conv_id").agg(F.count("*").alias("n"))
+    return remember.statements(table(spark, sf, "conversations")).groupBy("conv_id", "lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings")
