@@ -2,9 +2,11 @@
 
 Numbers, units after numbers and capitalised words become typed placeholders wherever they
 stand, case and punctuation go, and windows of five template words, two plain ones among
-them, are hash-joined with those of the benchmark.  All windows of a document are probed,
-at every offset.  Documents that a probe finds are compared in full, and the values that
-stand in the slots of the matching windows must replace those of the item consistently.
+them, are hash-joined with those of the benchmark.  To find the documents, every second run
+of four words is probed with the runs of four in the benchmark's windows: whatever its
+offset, a window of five holds one that starts at an even word, so no window is missed.
+Documents that a probe finds are compared in full, and the values that stand in the slots
+of the matching windows must replace those of the item consistently.
 """
 
 from __future__ import annotations
@@ -81,9 +83,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_percent: int = 40,
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     flat = texts.select("doc_id", template(valued_template(F.col("text"))).alias("flat"))
     # tried at word starts only and without backtracking, so a long word costs its length
-    chunk = F.lit(rf"(?<![^ ])(?:[^ ]++ ){{{WIDTH - 1}}}[^ ]++")
-    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]++ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in range(WIDTH)))
-    probed = flat.select("doc_id", F.explode(probes).alias("window")).join(small(known.select("window").distinct()), "window", "left_semi").select("doc_id").distinct()
+    run = WIDTH - 1
+    chunk = F.lit(rf"(?<![^ ])(?:[^ ]++ ){{{run - 1}}}[^ ]++")
+    probes = F.concat(*(F.regexp_extract_all(F.regexp_replace("flat", rf"^(?:[^ ]++ ){{{k}}}", "") if k else F.col("flat"), chunk, F.lit(0)) for k in range(0, run, 2)))
+    words = F.split("window", " ")
+    runs = known.select(F.explode(F.array(*(F.array_join(F.slice(words, k, run), " ") for k in (1, 2)))).alias("run")).distinct()
+    probed = flat.select("doc_id", F.explode(probes).alias("run")).join(small(runs), "run", "left_semi").select("doc_id").distinct()
     # several joins read these few ids; unwritten, each would probe all texts again
     probed = written(probed, "probed")
     chosen = flag_ids(texts, probed.select(F.col("doc_id").alias("id")), "maybe").where("maybe").drop("maybe").join(probed, "doc_id", "left_semi")
