@@ -33,26 +33,31 @@ def unit_rows(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _matrix_scan(sized: list[tuple[list, np.ndarray]], k: int | None, least: float | None, query_type: pa.DataType):
+def _matrix_scan(sized: list[tuple[list, np.ndarray, np.ndarray]], k: int | None, least: float | None, query_type: pa.DataType):
     """(id, vector) batches -> (query_id, id, score): a batch's best k of each query, or all from ``least`` on.
 
-    sized: (query ids, matrix) of each length of query vectors; rows of another length are not compared.
+    sized: (query ids, matrix, owners) of each length of query vectors; rows of another length are not
+    compared.  A query with an owner sees the rows whose third column is that owner, one without sees all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, matrix in sized:
+            for ids, matrix, owners in sized:
                 at, vectors = unit_rows(batch.column(1), matrix.shape[1])
                 if not len(at):
                     continue
                 scores = vectors @ matrix.T
+                open_ = np.equal(owners, None)
+                if not open_.all():
+                    own = np.array(batch.column(2).take(pa.array(at)).to_pylist(), object)
+                    scores[~(open_ | (own[:, None] == owners))] = -np.inf
                 if k is not None and len(scores) > k:
                     cut = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                    row, col = np.nonzero(scores >= cut)
+                    row, col = np.nonzero((scores >= cut) & (scores > -np.inf))
                 elif least is not None:
                     row, col = np.nonzero(scores >= least)
                 else:
-                    row, col = np.nonzero(np.ones_like(scores, bool))
+                    row, col = np.nonzero(scores > -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[c] for c in col.tolist()], query_type), batch.column(0).take(pa.array(at[row])), pa.array(scores[row, col])], names=["query_id", "id", "score"]
                 )
@@ -60,15 +65,17 @@ def _matrix_scan(sized: list[tuple[list, np.ndarray]], k: int | None, least: flo
     return run
 
 
-def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, least: float | None = None) -> DataFrame:
+def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, least: float | None = None, by: str | None = None) -> DataFrame:
     """(query_id, id, score) by cosine, the exact best k or all scores from ``least`` on.
 
     queries: query_id, vector; corpus: id, vector; only vectors of one length are compared.  Queries come in blocks of BLOCK rows that
     the driver holds; the corpus is read once a block and never shuffled: each batch keeps
-    its best k of each query, and only those meet for the final ranks.
+    its best k of each query, and only those meet for the final ranks.  With ``by``, a column of
+    both sides, a query where it is not null sees only the rows that are equal there, before any cut.
     """
+    own = [by] if by else []
     spark = corpus.sparkSession
-    ordered = queries.select("query_id", "vector").where("vector is not null")
+    ordered = queries.select("query_id", "vector", *own).where("vector is not null")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
     arrow = [pa.int64() if queries.schema[c].dataType.simpleString() == "bigint" else pa.string() for c in ("query_id",)]
     n = ordered.count()
@@ -80,9 +87,10 @@ def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, le
         if not len(block):
             continue
         vectors, ids = pa.array([list(map(float, v)) for v in block["vector"]], pa.list_(pa.float64())), block["query_id"].tolist()
-        sized = [([ids[j] for j in at], rows) for at, rows in (unit_rows(vectors, n) for n in sorted({len(v) for v in block["vector"]}))]
+        owners = np.array([None if v is None or v != v else v for v in block[by]] if by else [None] * len(block), object)
+        sized = [([ids[j] for j in at], rows, owners[at]) for at, rows in (unit_rows(vectors, n) for n in sorted({len(v) for v in block["vector"]}))]
         scan = _matrix_scan(sized, k, least, arrow[0])
-        out = out.unionByName(corpus.select("id", "vector").where("vector is not null").mapInArrow(scan, kinds))
+        out = out.unionByName(corpus.select("id", "vector", *own).where("vector is not null").mapInArrow(scan, kinds))
     if k is None:
         return out
     return first_n(out, k, ["query_id"], F.desc(F.round("score", 9)), F.col("id")).select("query_id", "id", "score", "rank")
@@ -94,10 +102,11 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(query_id, id, score, rank) by BM25 of any query term; queries: query_id, query.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Only postings of query terms are aggregated.
+    With ``by`` (see owned_rows) other rows go before the ranks; N, df and lengths are those of all docs.
     """
     sizes = docs.select(F.size(keyword_tokens(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
@@ -107,9 +116,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("length") / F.col("mean")))
     scored = rows.groupBy("query_id", "id").agg(F.sum(idf * part).alias("score"))
+    if by:
+        scored = owned_rows(scored, queries, docs, by)
     return first_n(scored, k, ["query_id"], F.desc(F.round("score", 9)), F.col("id"))
 
 
+def owned_rows(matches: DataFrame, queries: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """Matches (query_id, id, ...) whose row equals the query in ``by``, or whose query has null there."""
+    asked = queries.select("query_id", F.col(by).alias("_asked"))
+    owner = rows.select("id", F.col(by).alias("_owner"))
+    return matches.join(owner, "id").join(asked, "query_id").where("_asked is null or _asked = _owner").select(*matches.columns)
+
+
 def substring_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """T04, T17 (mode substring), V20: texts that contain the query, scored min(1, |q| / |text| + 0.5)."""
     joined = docs.join(F.broadcast(queries), F.lower("text").contains(F.lower("query")))

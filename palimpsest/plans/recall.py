@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scoring import result_confidence
 from palimpsest.operators.graph import linked_memories, within_hops
-from palimpsest.operators.retrieval import best_of, bm25, explanation, first_n, reciprocal_rank_fusion, recency_weighted, vector_matches
+from palimpsest.operators.retrieval import best_of, bm25, explanation, first_n, owned_rows, reciprocal_rank_fusion, recency_weighted, vector_matches
 
 # Synonyms of query words.
 SYNONYMS = {
@@ -27,33 +27,57 @@ SYNONYMS = {
 
 
 def candidates(queries: DataFrame, memories: DataFrame, now: Column, limit: int, edges: DataFrame | None = None, seeds: DataFrame | None = None, links: DataFrame | None = None, weight: float = 0.3) -> DataFrame:
-    """(query_id, method, id, score): three times ``limit`` rows of each strategy that its inputs allow."""
+    """(query_id, method, id, score): three times ``limit`` rows of each strategy that its inputs allow.
+
+    A query with a user_id sees that user's rows only, in every strategy and before its cut.
+    """
     wide = 3 * limit
-    rows = bm25(queries, memories.select("id", F.col("content").alias("text")), wide).select("query_id", F.lit("keyword").alias("method"), "id", "score")
+    by = "user_id" if "user_id" in queries.columns else None
+    own = [by] if by else []
+    rows = bm25(queries, memories.select("id", F.col("content").alias("text"), *own), wide, by=by).select("query_id", F.lit("keyword").alias("method"), "id", "score")
     if "vector" in queries.columns and "embedding" in memories.columns:
-        semantic = vector_matches(queries.select("query_id", "vector"), memories.select("id", F.col("embedding").alias("vector")), wide).drop("rank")
+        semantic = vector_matches(queries.select("query_id", "vector", *own), memories.select("id", F.col("embedding").alias("vector"), *own), wide, by=by).drop("rank")
         temporal = recency_weighted(semantic, memories.select("id", "created_at"), now, weight, wide)
         for name, part in (("semantic", semantic), ("temporal", temporal)):
             rows = rows.unionByName(part.select("query_id", F.lit(name).alias("method"), "id", "score"))
     if edges is not None and seeds is not None and links is not None:
-        near = first_n(linked_memories(edges, seeds, links), wide, ["query_id"], F.desc("score"), F.col("id"))
+        near = linked_memories(edges, seeds, links).join(memories.select("id"), "id", "left_semi")
+        near = owned_rows(near, queries, memories, by) if by else near
+        near = first_n(near, wide, ["query_id"], F.desc("score"), F.col("id"))
         rows = rows.unionByName(near.select("query_id", F.lit("graph").alias("method"), "id", "score"))
     return rows
 
 
 def recall(
-    queries: DataFrame, memories: DataFrame, now: Column, limit: int = 10, least: float = 0.3, weights: DataFrame | None = None, **graph
+    queries: DataFrame,
+    memories: DataFrame,
+    now: Column,
+    limit: int = 10,
+    least: float = 0.3,
+    weights: DataFrame | None = None,
+    memory_types: list[str] | None = None,
+    tags: list[str] | None = None,
+    since: Column | None = None,
+    until: Column | None = None,
+    **graph,
 ) -> DataFrame:
     """query_id, id, score, rank, explanation.
 
-    Expired and inactive rows go first, then each strategy ranks, ranks are fused, and rows
-    below ``least`` of the query's best are dropped.  A query with a user_id sees that user's rows.
+    Expired and inactive rows go first, and those of other types, without any of the tags or
+    created outside [since, until]; then each strategy ranks, ranks are fused, and rows below
+    ``least`` of the query's best are dropped.  A query with a user_id sees that user's rows.
     """
     alive = memories.where("is_active").where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    if memory_types is not None:
+        alive = alive.where(F.col("memory_type").isin(memory_types))
+    if tags is not None:
+        alive = alive.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags)).cast("array<string>")))
+    if since is not None:
+        alive = alive.where(F.col("created_at") >= since)
+    if until is not None:
+        alive = alive.where(F.col("created_at") <= until)
     fused = reciprocal_rank_fusion(candidates(queries, alive, now, limit, **graph), weights=weights)
-    rows = fused.join(alive.select("id", F.col("user_id").alias("_owner"), "importance", "access_count"), "id")
-    if "user_id" in queries.columns:
-        rows = rows.join(F.broadcast(queries.select("query_id", "user_id")), "query_id").where("user_id is null or user_id = _owner")
+    rows = fused.join(alive.select("id", "importance", "access_count"), "id")
     rows = first_n(rows.where(F.col("score") >= least), limit, ["query_id"], F.desc(F.round("score", 9)), F.col("id"))
     return rows.select("query_id", "id", "score", "rank", explanation(F.col("score"), F.col("methods"), F.col("importance"), F.col("access_count")).alias("explanation"))
 

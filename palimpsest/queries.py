@@ -325,27 +325,48 @@ def _hybrid(spark, sf):
     return q, m
 
 
-@query(
-    MEMORIES
-    + f""", lv AS (SELECT m.*, e.embedding::DOUBLE[] AS v FROM m LEFT JOIN embeddings e ON e.vec_id = m.id WHERE is_active AND {ALIVE}),
- qv AS (SELECT item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS v FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+def _recall_sql(kept: str = "true", user: str = "NULL::VARCHAR") -> str:
+    """recall over the rows that are ``kept``, with the query's ``user``."""
+    return (
+        MEMORIES
+        + f""", lv AS (SELECT m.*, e.embedding::DOUBLE[] AS v FROM m LEFT JOIN embeddings e ON e.vec_id = m.id WHERE is_active AND {ALIVE} AND {kept}),
+ qv AS (SELECT item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS v, {user} AS asked FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
  w AS (SELECT id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+') AS w FROM lv), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
  qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM qv),
  p AS (SELECT term, id, count(*) AS tf, any_value(length) AS length FROM (SELECT id, len(w) AS length, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
- kw AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM p JOIN df USING (term) JOIN qt USING (term), s GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
- se AS (SELECT query_id, id, list_cosine_similarity(qv.v, lv.v) AS score FROM qv, lv WHERE qv.v IS NOT NULL AND lv.v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+ kw AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM p JOIN df USING (term) JOIN qt USING (term), s WHERE (query_id, id) IN (SELECT query_id, id FROM qv, lv WHERE asked IS NULL OR asked = user_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+ se AS (SELECT query_id, id, list_cosine_similarity(qv.v, lv.v) AS score FROM qv, lv WHERE qv.v IS NOT NULL AND lv.v IS NOT NULL AND (asked IS NULL OR asked = user_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
  te AS (SELECT query_id, id, score * 0.7 + 0.3 * greatest(0.0, 1.0 - {DAYS.format("created_at")} / 365.0) AS score FROM se JOIN m USING (id)),
  r AS (SELECT 'keyword' AS method, * FROM kw UNION ALL SELECT 'semantic', * FROM se UNION ALL SELECT 'temporal', * FROM te),
  r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC, id) AS rk FROM r),
  f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rk)) AS raw FROM r2 GROUP BY 1, 2), g AS (SELECT query_id, id, raw / max(raw) OVER (PARTITION BY query_id) AS score FROM f)
  SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM g WHERE score >= 0.3 QUALIFY rank <= 10"""
-)
+    )
+
+
+@query(_recall_sql())
 def v08_recall(spark, sf):
     q, m = _hybrid(spark, sf)
     return recall_plan.recall(q, m, _now(), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    _recall_sql(
+        "memory_type IN ('semantic', 'episodic') AND list_has_any(tags, ['en', 'src0', 'src1']) AND created_at BETWEEN TIMESTAMP '2024-01-01 00:02:00' AND TIMESTAMP '2024-01-01 06:00:00'",
+        "CASE WHEN item_id % 3 <> 0 THEN 'src' || (item_id % 4) END",
+    )
+)
+def v08_filtered_recall(spark, sf):
+    q, m = _hybrid(spark, sf)
+    q = q.withColumn("user_id", F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("src"), (F.col("query_id") % 4).cast("string"))))
+    time = lambda t: F.lit(t).cast("timestamp")
+    rows = recall_plan.recall(
+        q, m, _now(), 10, memory_types=["semantic", "episodic"], tags=["en", "src0", "src1"], since=time("2024-01-01 00:02:00"), until=time("2024-01-01 06:00:00")
+    )
+    return rows.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, ql.label AS ql, list_cosine_similarity(q.v, e.embedding::DOUBLE[]) AS score FROM ({_QUERY_VECTORS}) q JOIN embeddings ql ON ql.vec_id = q.vec_id, embeddings e),
  r AS (SELECT query_id, id, (label = ql)::INT AS hit, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10),
