@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import space_tokens
 from palimpsest.functions.vector import cosine
+from palimpsest.operators.folds import fold_sorted
 from palimpsest.operators.retrieval import first_n, unit_rows
 
 
@@ -52,11 +53,13 @@ def merged_entities(events: DataFrame) -> DataFrame:
 def running_weights(events: DataFrame) -> DataFrame:
     """Edges from weight events (source_id, target_id, relation_type, weight, seq).
 
-    The first event sets the weight, each later one averages it with its own, in order.
+    The first event sets the weight, each later one averages it with its own, in order; null weights change nothing.
     """
-    rows = events.groupBy("source_id", "target_id", "relation_type").agg(F.array_sort(F.collect_list(F.struct("seq", "weight"))).alias("w"))
-    fold = F.aggregate(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.col("w")[0]["weight"], lambda acc, x: (acc + x["weight"]) / 2)
-    return rows.select("source_id", "target_id", "relation_type", fold.alias("weight"))
+
+    def step(weight: float | None, v: tuple) -> tuple:
+        return (weight if v[1] is None else v[1] if weight is None else (weight + v[1]) / 2), None
+
+    return fold_sorted(events, ["source_id", "target_id", "relation_type"], {"seq": F.col("seq"), "weight": F.col("weight").cast("double")}, None, step, {"weight": "double"}, each=False)
 
 
 def boosted_search(vectors: DataFrame, edges: DataFrame, seeds: DataFrame, query: Column, depth: int = 2, boost: float = 0.15) -> DataFrame:

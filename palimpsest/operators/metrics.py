@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.folds import fold_sorted
+
 # Bounds of the latency histogram.
 BOUNDS = (1, 5, 10, 25, 50, 75, 100, 150, 200, 500, 1000)
 
@@ -150,26 +152,25 @@ def access_pattern(log: DataFrame, by: str = "user_id") -> DataFrame:
 
 
 def moving_success(events: DataFrame, by: str, alpha: float = 0.1, start: float = 0.5) -> DataFrame:
-    """Exponential moving average of x over (ts, id) for each key, and weights that sum to the number of keys."""
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "x"))).alias("xs"))
-    ema = F.aggregate("xs", F.lit(start), lambda acc, e: alpha * e["x"] + (1 - alpha) * acc)
-    out = rows.select(by, ema.alias("ema"))
+    """Exponential moving average of x over (ts, id) for each key, and weights that sum to the number of keys; a null x changes nothing."""
+
+    def step(ema: float, v: tuple) -> tuple:
+        return (ema if v[2] is None else alpha * v[2] + (1 - alpha) * ema), None
+
+    out = fold_sorted(events, [by], {"ts": F.col("ts"), "id": F.col("id"), "x": F.col("x").cast("double")}, start, step, {"ema": "double"}, each=False)
     total = out.agg(F.sum("ema").alias("s"), F.count("*").alias("k"))
     return out.crossJoin(F.broadcast(total)).select(by, "ema", (F.col("ema") / F.col("s") * F.col("k")).alias("weight"))  # total: one row
 
 
 def budget_spends(spends: DataFrame, budget: float) -> DataFrame:
-    """Spends (key, seq, epsilon) with ``accepted``; one above what is left is refused and not charged."""
-    rows = spends.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "epsilon"))).alias("xs"))
-    empty = F.array().cast("array<struct<seq:bigint,epsilon:double,accepted:boolean>>")
+    """Spends (key, seq, epsilon) with ``accepted``; one above what is left is refused and not charged, a null one neither."""
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["used"] + x["epsilon"] <= budget + 1e-12
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["epsilon"].alias("epsilon"), ok.alias("accepted"))
-        return F.struct((acc["used"] + F.when(ok, x["epsilon"]).otherwise(0.0)).alias("used"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    def step(used: float, v: tuple) -> tuple:
+        ok = None if v[1] is None else used + v[1] <= budget + 1e-12
+        return (used + v[1] if ok else used), (*v, ok)
 
-    fold = F.aggregate("xs", F.struct(F.lit(0.0).alias("used"), empty.alias("rows")), step, lambda acc: acc["rows"])
-    return rows.select("key", F.explode(fold).alias("r")).select("key", "r.*")
+    values = {"seq": F.col("seq").cast("long"), "epsilon": F.col("epsilon").cast("double")}
+    return fold_sorted(spends, ["key"], values, 0.0, step, {"seq": "long", "epsilon": "double", "accepted": "boolean"})
 
 
 def scene_relations(scenes: DataFrame) -> DataFrame:

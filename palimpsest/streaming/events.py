@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.operators.folds import fold_sorted
+
 
 def window_counts(events: DataFrame, width: str = "60 seconds", slide: str | None = None, late: str = "60 seconds", by: list[str] = ()) -> DataFrame:
     """window_start, window_end, n and total of ``value`` for each window and key."""
@@ -57,18 +59,17 @@ def batches(events: DataFrame, size: int = 100, by: str = "user_id") -> DataFram
 
 
 def token_bucket(events: DataFrame, rate: float, capacity: float, by: str = "user_id") -> DataFrame:
-    """R13 over a batch: events with ``allowed``: a bucket of ``capacity`` refilled by ``rate`` a second for each key."""
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id"))).alias("e"))
-    kept = F.array().cast("array<struct<event_id:bigint,allowed:boolean>>")
+    """R13 over a batch: events with ``allowed``: a bucket of ``capacity`` refilled by ``rate`` a second for each key; a null ts refills nothing."""
 
-    def step(acc: Column, x: Column) -> Column:
-        level = F.least(F.lit(float(capacity)), acc["level"] + (x["t"] - acc["t"]) / 1e6 * rate)
+    def step(state: tuple | None, v: tuple) -> tuple:
+        level, at = state or (float(capacity), None)
+        if v[0] is not None and at is not None:
+            level = min(float(capacity), level + (v[0] - at) / 1e6 * rate)
         ok = level >= 1.0
-        row = F.struct(x["event_id"].cast("bigint").alias("event_id"), ok.alias("allowed"))
-        return F.struct((level - F.when(ok, 1.0).otherwise(0.0)).alias("level"), x["t"].alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return (level - float(ok), at if v[0] is None else v[0]), (v[1], ok)
 
-    start = F.struct(F.lit(float(capacity)).alias("level"), F.col("e")[0]["t"].alias("t"), kept.alias("out"))
-    return rows.select(by, F.explode(F.aggregate("e", start, step, lambda acc: acc["out"])).alias("r")).select(by, "r.*")
+    values = {"ts": F.unix_micros("ts"), "event_id": F.col("event_id").cast("long")}
+    return fold_sorted(events, [by], values, None, step, {"event_id": "long", "allowed": "boolean"})
 
 
 def token_bucket_stream(events: DataFrame, rate: float, capacity: float) -> DataFrame:

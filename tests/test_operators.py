@@ -6,10 +6,14 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators.dedup import near_texts
-from palimpsest.operators.graph import candidate_pairs, connections
+from palimpsest.operators.graph import candidate_pairs, connections, running_weights
+from palimpsest.operators.metrics import budget_spends, moving_success
 from palimpsest.operators.retrieval import vector_matches
 from palimpsest.plans.remember import statements
+from palimpsest.streaming.events import token_bucket
 
 
 def cosine(x, y):
@@ -61,3 +65,42 @@ def test_language_of_long_turns(spark):
     rows = [(1, 0, "user", "word " * 600 + "\u4f60\u597d" * 400), (1, 1, "user", "short turn"), (2, 0, "user", "plain words only"), (3, 0, "user", None)]
     got = {r.conv_id: r.lang for r in statements(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {1: "zh", 2: "en"}
+
+
+def test_ordered_folds(spark):
+    """Folds over many Arrow batches, a key with most rows, a null key and ties against plain Python; empty tables give no rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randrange(90), k, round(rng.random() * 3, 3)) for k in range(400)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        e = spark.createDataFrame(rows, "key string, t long, id long, x double").withColumn("ts", F.timestamp_seconds("t"))
+        edges = e.selectExpr("key AS source_id", "'z' AS target_id", "'r' AS relation_type", "x AS weight", "id AS seq")
+        spends = e.selectExpr("key", "id AS seq", "x AS epsilon")
+        ema = {r.key: r.ema for r in moving_success(e, "key").collect()}
+        weights = {r.source_id: r.weight for r in running_weights(edges).collect()}
+        spent = {r.seq: r.accepted for r in budget_spends(spends, 9.0).collect()}
+        events = e.withColumnRenamed("id", "event_id")
+        allowed = {r.event_id: r.allowed for r in token_bucket(events, 0.5, 3, "key").collect()}
+        for empty in (moving_success(e.limit(0), "key"), running_weights(edges.limit(0)), budget_spends(spends.limit(0), 1.0), token_bucket(events.limit(0), 1.0, 1, "key")):
+            assert empty.count() == 0
+    finally:
+        spark.conf.set(size, before)
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        mean, weight, used = 0.5, None, 0.0
+        for _, _, k, x in sorted(own, key=lambda r: r[2]):
+            weight = x if weight is None else (weight + x) / 2
+            ok = used + x <= 9.0 + 1e-12
+            used += x if ok else 0.0
+            assert spent[k] == ok
+        level, at = 3.0, None
+        for _, t, k, x in sorted(own, key=lambda r: (r[1], r[2])):
+            mean = 0.1 * x + 0.9 * mean
+            level = min(3.0, level + (t - (t if at is None else at)) * 0.5)
+            at = t
+            assert allowed[k] == (level >= 1)
+            level -= level >= 1
+        assert math.isclose(ema[key], mean) and math.isclose(weights[key], weight)
+    assert len(spent) == len(allowed) == len(rows) and len(ema) == len(weights) == 4
