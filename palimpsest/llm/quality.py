@@ -2,11 +2,12 @@
 
 Each document has a vector of transformed statistics.  For every (language, source) group
 the centre and scatter of the most concentrated share of its rows are found by C-steps
-from a deterministic start (medians and MADs).  A C-step is two aggregations over all
-rows: the distance quantile of each group (partial quantile sketches), then the moments of
-the rows within it; so a group that holds a third of all rows is summed in pieces like any
-other, and no group meets in one task.  Rows far from their group's estimate by
-Mahalanobis distance are rejected.
+from three deterministic starts: medians and MADs, and these with two robust
+correlations.  After a few steps the start whose scatter has the smallest determinant goes
+on alone.  A C-step is two aggregations over all rows: the distance quantile of each group
+(partial quantile sketches), then the moments of the rows within it; so a group that holds
+a third of all rows is summed in pieces like any other, and no group meets in one task.
+Rows far from their group's estimate by Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import fresh_name, written
 from palimpsest.llm.wordhash import BYTE_BASE, mix64, text_slices, window_starts, windows, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -29,6 +30,13 @@ FEATURES = ["f_words", "f_length", "f_symbols", "f_lines", "f_repeat"]
 FLOORS = [0.25, 0.05, 0.15, 0.3, 0.08]
 #: Chi-square quantiles for five degrees of freedom: the median and the share 1 - 1e-6.
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 35.8882
+PARAMS = "group string, start int, center array<double>, inverse array<double>, log_det double"
+PARAM_NAMES = [c.split()[0] for c in PARAMS.split(", ")]
+#: C-steps of every start before the one of the smallest determinant goes on alone.
+START_STEPS = 2
+#: Groups whose estimates are broadcast: about 1 KB for each, so 16 MB.
+BROADCAST_GROUPS = 16_000
+SALTS = 64
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
@@ -125,36 +133,99 @@ def _distance() -> Column:
     return total
 
 
-def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a group: moments -> centre and inverse of the (floored) scatter."""
+def _pieces(row: list[float], p: int) -> np.ndarray:
+    """A symmetric matrix from its upper triangle."""
+    upper = np.zeros((p, p))
+    upper[np.triu_indices(p)] = row
+    return upper + np.triu(upper, 1).T
+
+
+def _parameters(center: np.ndarray, scatter: np.ndarray) -> tuple[list, list, float]:
+    """Centre, inverse and log determinant of a scatter to which the floors are added."""
+    scatter = scatter + np.diag(np.square(FLOORS))
+    return center.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's START_KINDS first estimates, all centred at its medians and scaled by its MADs."""
     p = len(FEATURES)
     for batch in batches:
-        center, inverse = [], []
+        out = []
+        for row in batch.itertuples(index=False):
+            scale = 1.4826 * np.array(row.spreads, float)
+            for start, moments in enumerate((None, row.curbed, row.signs)):
+                alike = np.eye(p)
+                if moments is not None:
+                    second = _pieces(moments, p)
+                    size = np.sqrt(np.maximum(np.diag(second), 1e-12))
+                    alike = second / np.outer(size, size)
+                    np.fill_diagonal(alike, 1.0)
+                out.append((row.group, start, *_parameters(np.array(row.middles, float), np.outer(scale, scale) * alike)))
+        yield pd.DataFrame(out, columns=PARAM_NAMES)
+
+
+def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a group and start: moments -> centre, inverse and log determinant of the (floored) scatter."""
+    for batch in batches:
+        out = []
         for row in batch.itertuples(index=False):
             m = np.array(row.sums, float) / row.n
-            second = np.zeros((p, p))
-            second[np.triu_indices(p)] = np.array(row.products, float) / row.n
-            scatter = second + np.triu(second, 1).T - np.outer(m, m)
-            scatter += np.diag(np.square(FLOORS))
-            center.append(m.tolist())
-            inverse.append(np.linalg.inv(scatter).ravel().tolist())
-        yield pd.DataFrame({"group": batch["group"], "center": center, "inverse": inverse})
-
-
-def _c_step(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
-    """New (group, center, inverse) from the ``share`` of each group's rows that lie nearest."""
-    near = rows.join(params, "group").withColumn("d2", _distance())
-    cut = near.groupBy("group").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut"))
-    chosen = near.join(cut, "group").where("d2 <= cut")
+            scatter = _pieces(np.array(row.products, float) / row.n, len(FEATURES)) - np.outer(m, m)
+            out.append((row.group, row.start, *_parameters(m, scatter)))
+        yield pd.DataFrame(out, columns=PARAM_NAMES)
+
+
+def _attach(rows: DataFrame, values: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows with the values of their group.
+
+    ``few``: the groups were counted, and are at most BROADCAST_GROUPS; their values are
+    broadcast.  Otherwise each group's rows are dealt over SALTS parts, so that no task
+    gets a whole large group.
+    """
+    if few:
+        return rows.join(F.broadcast(values), keys, how)
+    salt = fresh_name()
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+    copies = values.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def _c_step(rows: DataFrame, params: DataFrame, share: float, few: bool) -> DataFrame:
+    """New params from the ``share`` of each group's rows that lie nearest to each of its estimates."""
+    near = _attach(rows, params, ["group"], few).withColumn("d2", _distance())
+    cut = near.groupBy("group", "start").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut"))
+    chosen = _attach(near, cut, ["group", "start"], few).where("d2 <= cut")
     products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-    moments = chosen.groupBy("group").agg(
+    moments = chosen.groupBy("group", "start").agg(
         F.count("*").alias("n"), F.array(*(F.sum(f) for f in FEATURES)).alias("sums"), F.array(*products).alias("products")
     )
-    return moments.mapInPandas(_estimates, "group string, center array<double>, inverse array<double>")
+    return moments.mapInPandas(_estimates, PARAMS)
+
+
+def _first_estimates(fit: DataFrame, few: bool) -> DataFrame:
+    """params of all starts: medians and MADs alone, with the correlation of curbed (tanh) values, with that of spatial signs."""
+    middles = F.array(*(F.percentile_approx(f, F.lit(0.5), F.lit(2000)).cast("double") for f in FEATURES))
+    start = written(fit.groupBy("group").agg(middles.alias("middles")), "medians")
+    gaps = [F.abs(F.col(f) - F.col("middles")[i]) for i, f in enumerate(FEATURES)]
+    spreads = F.array(*(F.percentile_approx(g, F.lit(0.5), F.lit(2000)).cast("double") for g in gaps))
+    start = written(_attach(fit, start, ["group"], few).groupBy("group").agg(F.first("middles").alias("middles"), spreads.alias("spreads")), "spreads")
+    scaled = [
+        ((F.col(f) - F.col("middles")[i]) / F.sqrt(F.pow(1.4826 * F.col("spreads")[i], 2) + FLOORS[i] ** 2)).alias(f"z{i}")
+        for i, f in enumerate(FEATURES)
+    ]
+    z = [F.col(f"z{i}") for i in range(len(FEATURES))]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    length = sum((x * x for x in z[1:]), z[0] * z[0])
+    rows = _attach(fit, start, ["group"], few).select("group", *scaled).withColumn("length", F.greatest(length, F.lit(1e-12)))
+    sums = rows.groupBy("group").agg(
+        F.array(*(F.sum(F.tanh(z[i]) * F.tanh(z[j])) for i, j in pairs)).alias("curbed"),
+        F.array(*(F.sum(z[i] * z[j] / F.col("length")) for i, j in pairs)).alias("signs"),
+    )
+    return start.join(sums, "group").mapInPandas(_starts, PARAMS)
 
 
 def robust_outliers(
-    docs: DataFrame, share: float = 0.75, steps: int = 4, min_group: int = 50, cut: float = CHI2_CUT, min_words: int = 20, max_repeat_percent: int = 30
+    docs: DataFrame, share: float = 0.75, steps: int = 3, min_group: int = 50, cut: float = CHI2_CUT, min_words: int = 20, max_repeat_percent: int = 30
 ) -> DataFrame:
     """doc_id, the five base statistics, base_failed, kept, distance.
 
@@ -178,27 +249,20 @@ def robust_outliers(
     groups = sizes.select("lang", "source", F.when(F.col("size") >= min_group, whole).otherwise(pooled).alias("group"), "size")
     enough = groups.groupBy("group").agg(F.sum("size").alias("total")).where(F.col("total") >= min_group).select("group")
     groups = written(groups.join(enough, "group", "left_semi").select("lang", "source", "group"), "groups")
-    rows = rows.join(groups, ["lang", "source"], "left")
+    few = groups.count() <= BROADCAST_GROUPS
+    rows = _attach(rows, groups, ["lang", "source"], few, "left")
     fit = rows.where("not base_failed and group is not null")
-    middles = [F.percentile_approx(f, F.lit(0.5), F.lit(2000)).alias(f"m_{f}") for f in FEATURES]
-    start = written(fit.groupBy("group").agg(*middles), "medians")
-    spread = fit.join(start, "group").groupBy("group").agg(
-        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5), F.lit(2000)).alias(f"s_{f}") for f in FEATURES)
-    )
-    p = len(FEATURES)
-    diagonal = [
-        1.0 / (F.pow(1.4826 * F.col(f"s_{FEATURES[k // p]}"), 2) + FLOORS[k // p] ** 2) if k // p == k % p else F.lit(0.0) for k in range(p * p)
-    ]
-    params = spread.join(start, "group").select(
-        "group", F.array(*(F.col(f"m_{f}").cast("double") for f in FEATURES)).alias("center"), F.array(*diagonal).alias("inverse")
-    )
-    params = written(params, "estimates")
+    params = written(_first_estimates(fit, few), "estimates")
+    for _ in range(START_STEPS):
+        params = written(_c_step(fit, params, share, few), "estimates")
+    best = F.min_by(F.struct("start", "center", "inverse", "log_det"), F.struct("log_det", "start"))
+    params = written(params.groupBy("group").agg(best.alias("best")).select("group", "best.*"), "estimates")
     for _ in range(steps):
-        params = written(_c_step(fit, params, share), "estimates")
-    near = fit.join(params, "group").withColumn("d2", _distance())
+        params = written(_c_step(fit, params, share, few), "estimates")
+    near = _attach(fit, params, ["group"], few).withColumn("d2", _distance())
     scale = near.groupBy("group").agg(F.greatest(F.percentile_approx("d2", F.lit(0.5), F.lit(2000)) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
     params = written(params.join(scale, "group"), "estimates")
-    scored = rows.join(params, "group", "left").withColumn("distance", _distance() / F.col("scale"))
+    scored = _attach(rows, params, ["group"], few, "left").withColumn("distance", _distance() / F.col("scale"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance",
