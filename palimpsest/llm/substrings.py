@@ -3,8 +3,9 @@
 Two windows can be equal only if their *anchors* are: a window's anchor is the smallest
 hash among its short sub-windows.  A first, thin exchange (one row for each slice and
 distinct anchor, about one for eight words) finds anchors that occur more than once;
-only windows of such anchors go on to be counted, by their full Rabin-Karp hash, so no
-repeated window is lost and unrepeated text is never shuffled as windows.
+only windows of such anchors go on to be counted, by anchor and full Rabin-Karp hash, so
+no repeated window is lost and unrepeated text is never shuffled as windows.  Spark sorts
+the rows of both exchanges, and tasks stream them.
 
 Hot passages: each task first settles repeats inside its own slice, where the first
 occurrence stands for the others.  One row for each slice and window at most leaves a
@@ -80,18 +81,27 @@ def _emit_anchors(width: int):
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shuffle partition: (doc, anchor) for anchors met in more than one slice."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, doc, mark = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.argsort(key, kind="stable")
-    key, doc, mark = key[order], doc[order], mark[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    more = np.repeat(np.diff(np.append(np.flatnonzero(new), len(key))) > 1, np.diff(np.append(np.flatnonzero(new), len(key))))
-    keep = more & (mark == 0)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(key[keep])], names=["doc_id", "anchor"])
+    """(doc_id, anchor) of marks 2 at once, and of marks 0 whose anchor was met in more than one slice.
+
+    The rows come sorted by key; one row is held back, so memory is that of a batch.
+    """
+    key, doc, mark = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    more = False
+    for batch in batches:
+        k, d, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        told = m == 2
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(d[told]), pa.array(k[told])], names=["doc_id", "anchor"])
+        if told.all():
+            continue
+        key, doc, mark = np.append(key, k[~told]), np.append(doc, d[~told]), np.append(mark, m[~told])
+        same = key[1:] == key[:-1]
+        met = np.append(more, same) | np.append(same, False)
+        keep = met[:-1] & (mark[:-1] == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][keep]), pa.array(key[:-1][keep])], names=["doc_id", "anchor"])
+        key, doc, mark, more = key[-1:], doc[-1:], mark[-1:], bool(met[-1])
+    if more and mark[0] == 0:
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key)], names=["doc_id", "anchor"])
 
 
 def _emit_windows(width: int):
@@ -149,33 +159,35 @@ def _emit_windows(width: int):
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shuffle partition: runs of windows of which an earlier (doc, start) exists."""
-    hashes, docs, starts = [], [], []
+    """Runs of windows of which an earlier (doc, start) exists; equal are those of one anchor and one hash.
+
+    The rows come sorted by key, doc and pos.  Of the anchor that may go on in the next
+    batch only the first occurrence of each different window is kept in memory.
+    """
+    key, h, doc, start = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    offsets = np.arange(31, -1, -1)
     for batch in batches:
-        doc, pos, mask = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+        own, at, pos, mask = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
         known = mask < 0
         if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(pos[known].astype(np.int32)), pa.array((-mask[known]).astype(np.int32))], names=["doc_id", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[known]), pa.array(pos[known].astype(np.int32)), pa.array((-mask[known]).astype(np.int32))], names=["doc_id", "start", "n"])
         if known.all():
             continue
-        doc, pos, mask = doc[~known], pos[~known], mask[~known]
+        own, at, pos, mask = own[~known], at[~known], pos[~known], mask[~known]
         payload = batch.column(4).filter(pa.array(~known))
-        hashes.append(np.frombuffer(b"".join(payload.to_pylist()), np.uint64))
-        offsets = np.arange(31, -1, -1)
         row, col = np.nonzero((mask[:, None] >> offsets) & 1)
-        docs.append(doc[row])
-        starts.append(pos[row] - offsets[col])
-    if not hashes:
-        return
-    h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((start, doc, h))
-    h, doc, start = h[order], doc[order], start[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = (doc != doc[first]) | (start != start[first])
-    d, s, n = _runs(doc[later], start[later])
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n"])
+        key, doc, start = np.append(key, own[row]), np.append(doc, at[row]), np.append(start, pos[row] - offsets[col])
+        h = np.append(h, np.frombuffer(b"".join(payload.to_pylist()), np.uint64))
+        order = np.lexsort((start, doc, h, key))
+        key, h, doc, start = key[order], h[order], doc[order], start[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = (doc != doc[first]) | (start != start[first])
+        d, s, n = _runs(doc[later], start[later])
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n"])
+        open_ = new & (key == own[-1])
+        key, h, doc, start = key[open_], h[open_], doc[open_], start[open_]
 
 
 def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -187,24 +199,13 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
     if not ANCHOR <= width <= ANCHOR + 30:
         raise ValueError(f"width must be {ANCHOR} to {ANCHOR + 30}")
     real = _texts(docs).where("doc_id is not null")
-    met = real.mapInArrow(_emit_anchors(width), "key long, doc long, mark int").repartition("key")
-    # an anchor repeated inside a slice is asked for by each of its documents without a count
-    found = met.mapInArrow(_answers, "doc_id long, anchor long")
+    met = real.mapInArrow(_emit_anchors(width), "key long, doc long, mark int")
+    # an anchor repeated inside a slice is asked for by each of its documents without a count, so these rows go by document
+    met = met.repartition(F.when(F.col("mark") == 2, F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    found = met.mapInArrow(_repeated_anchors, "doc_id long, anchor long")
     asked = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     rows = real.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_emit_windows(width), "key long, doc long, pos int, mask int, hashes binary")
-    return rows.repartition("key").mapInArrow(_repeated_windows, "doc_id long, start int, n int")
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers of marks 2 at once, the rest by ``_repeated_anchors``."""
-    rest = []
-    for batch in batches:
-        mark = batch.column(2).to_numpy(zero_copy_only=False)
-        if (mark == 2).any():
-            told = batch.filter(pa.array(mark == 2))
-            yield pa.RecordBatch.from_arrays([told.column(1), told.column(0)], names=["doc_id", "anchor"])
-        rest.append(batch.filter(pa.array(mark < 2)))
-    yield from _repeated_anchors(iter(rest))
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_repeated_windows, "doc_id long, start int, n int")
 
 
 def _cut(width: int):
