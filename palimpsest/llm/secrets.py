@@ -49,6 +49,44 @@ def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _placed(rows: Column, rank: int, rule: Rule) -> Column:
+    """Spans of the matches (gap, len, size) that count, where each starts after all gaps up to it and all matches before it.
+
+    The rows are added up in blocks of about the root of their number, so that lists are
+    appended to only within a block: n * sqrt(n) copies, not n * n.
+    """
+    none = F.array().cast(SPANS)
+
+    def spans(block: Column, at: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            stop = start + x["len"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
+            return F.struct(stop.alias("at"), F.when(x["size"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def blocks(row: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(row))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(row) / width).cast("int") - 1), lambda k: F.slice(row, k * width + 1, width))
+
+    def starts(parts: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+        def add(acc: Column, part: Column) -> Column:
+            after = F.aggregate(part, acc["at"], lambda n, x: n + x["gap"] + x["len"])
+            return F.struct(after.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(parts, begin, add, lambda acc: acc["out"])
+
+    return _let(rows, lambda row: _let(blocks(row), lambda parts: F.flatten(F.zip_with(parts, starts(parts), spans))))
+
+
 def _spans(text: str, rule: Rule, rank: int) -> Column:
     """Spans of a rule's leftmost non-overlapping matches, in code points.
 
@@ -56,20 +94,17 @@ def _spans(text: str, rule: Rule, rank: int) -> Column:
     starts at the length of all pieces up to it and all matches before it.
     """
     quoted = F.lit(rule.pattern)
-    pieces = F.transform(F.split(F.col(text), rule.pattern, -1), lambda x: F.length(x).cast("bigint"))
-    whole = F.transform(F.regexp_extract_all(F.col(text), quoted, F.lit(0)), lambda x: F.length(x).cast("bigint"))
-    sized = F.transform(F.regexp_extract_all(F.col(text), quoted, F.lit(rule.group)), lambda x: F.length(x).cast("bigint"))
-    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), whole.alias("len"), sized.alias("size"))
-    empty = F.lit(None).cast(SPANS)
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array().cast(SPANS)).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + x["len"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        return F.struct(stop.alias("at"), F.when(x["size"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.col(text).rlike(rule.pattern), F.aggregate(rows, begin, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    length = lambda x: F.length(x).cast("bigint")
+    pieces = F.transform(F.split(F.col(text), rule.pattern, -1), length)
+    whole = F.transform(F.regexp_extract_all(F.col(text), quoted, F.lit(0)), length)
+    if rule.group:
+        sized = F.transform(F.regexp_extract_all(F.col(text), quoted, F.lit(rule.group)), length)
+        rows = F.arrays_zip(pieces.alias("gap"), whole.alias("len"), sized.alias("size"))
+    else:
+        rows = F.transform(F.arrays_zip(pieces.alias("gap"), whole.alias("len")), lambda x: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), x["len"].alias("size")))
+    # the piece behind the last match has no match
+    rows = F.filter(rows, lambda x: x["len"].isNotNull())
+    return F.when(F.col(text).rlike(rule.pattern), _placed(rows, rank, rule)).otherwise(F.array().cast(SPANS))
 
 
 def find_spans(text: str = "text", rules: tuple[Rule, ...] = RULES) -> Column:
