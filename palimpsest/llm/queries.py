@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from palimpsest.llm.centroids import cluster_vectors
 from palimpsest.llm.chat import conversation_events, fold_events, read_back, render
 from palimpsest.llm.decontam import contaminated
 from palimpsest.llm.packing import pack
 from palimpsest.llm.quality import robust_outliers
+from palimpsest.llm.repair import repair_conversations
 from palimpsest.llm.secrets import BASE_RULES, scan_secrets, span_text
 from palimpsest.llm.shards import ShardStore
 from palimpsest.llm.shared import shared_dir
@@ -96,6 +98,14 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_robust_outliers, op3_ngram_jaccard, op4_toxicity, op5_secret_scan, op6_substring_dedup,
-        op7_packing, op8_chat_format, op9_token_files, op10_template_decontamination, pipeline,
+        op7_packing, op8_chat_format, op9_token_files, op10_template_decontamination, op11_elkan_clusters, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in found}
 

@@ -23,12 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, and its path, for ``delete``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
+    return stored(df, name)[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
