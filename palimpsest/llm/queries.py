@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole tables of ``sf_dir``, and the corpus pipeline."""
+"""The thirteen operators as queries over the whole tables of ``sf_dir``, and the corpus pipeline."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import public_tokenizers
 from palimpsest.llm.centroids import cluster_vectors
 from palimpsest.llm.chat import conversation_events, fold_events, read_back, render
 from palimpsest.llm.decontam import contaminated
+from palimpsest.llm.neighbours import score_quality
 from palimpsest.llm.packing import pack
 from palimpsest.llm.quality import robust_outliers
 from palimpsest.llm.repair import repair_conversations
@@ -102,6 +103,10 @@ def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
+def op12_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -115,10 +120,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_robust_outliers, op3_ngram_jaccard, op4_toxicity, op5_secret_scan, op6_substring_dedup,
-        op7_packing, op8_chat_format, op9_token_files, op10_template_decontamination, op11_elkan_clusters, op13_conversation_repair, pipeline,
+        op7_packing, op8_chat_format, op9_token_files, op10_template_decontamination, op11_elkan_clusters, op12_neighbour_quality, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
+def _clusters_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """op11 in SQL: each round assigns all vectors and floors the means of clusters that are not empty."""
+    parts = [
+        f"v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {width} AND coalesce(len(list_filter(embedding, lambda x: isfinite(x))), 0) = {width})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < {k})",
+    ]
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, arg_min(c.c, {square} * {k} + c.c) AS c, min({square}) AS d FROM v, c{n} c GROUP BY v.r)")
+        if n < rounds:
+            parts.append(f"e{n} AS (SELECT c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, {width + 1}) t(j) GROUP BY c, j)")
+            parts.append(f"m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM e{n} GROUP BY c)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{n} o LEFT JOIN m{n} m USING (c))")
+    return (
+        f"WITH {', '.join(parts)} SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"}
+    return {
+        "op11_elkan_clusters": _clusters_sql(),
+        "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    }

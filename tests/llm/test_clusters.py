@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import oracle
 import pyarrow.parquet as pq
 
 from palimpsest.llm import queries as Q
@@ -51,3 +52,8 @@ def test_ties_and_odd_rows(spark):
     for k in (1, 5, 40, 500):
         assert got(cluster_vectors(df, k=k, rounds=4, width=4)) == brute_force(rows, k, 4, 4)
     assert cluster_vectors(df.limit(0), width=4).count() == 0
+
+
+def test_sql(spark, sf):
+    con = oracle.connect(sf)
+    assert oracle.differences(Q.op11_elkan_clusters(spark, sf), con, Q.oracle_sql()["op11_elkan_clusters"]) == ""
