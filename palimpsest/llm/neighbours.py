@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,14 +138,14 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _leading_axes(rows: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     rank = min(rank, *rows.shape)
-    q = np.random.default_rng(11).standard_normal((rows.shape[1], min(rank + 16, *rows.shape)))
+    q = np.random.default_rng(11).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(np.float32)
     for _ in range(6):
         q, _ = np.linalg.qr(rows.T @ (rows @ q))
     _, _, right = np.linalg.svd(rows @ q, full_matrices=False)
     return (q @ right[:rank].T).astype(np.float32)
 
 
-def learn_space(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, rank: int = 64, neighbours: int = 15, sharpness: float = 12.0) -> Space | None:
+def learn_space(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, rank: int = 64, neighbours: int = 15, sharpness: float = 12.0) -> Space | None:
     """A space from labelled documents (labels: doc_id, quality) that are not held out; None without labels.
 
     Bounded sample: about ``max_rows`` labelled rows by a hash of doc_id, so the term rows
@@ -160,16 +159,18 @@ def learn_space(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, rank:
     ids = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1_000_000)) < int(1_000_000 * share))
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = written(thin.join(F.broadcast(ids), "doc_id").select("text", F.expr("int(label > 0)").alias("label")), "labelled")
-    known: pd.DataFrame = sample.mapInArrow(_terms, "terms array<float>, label int").toPandas()
-    if not len(known):
+    known = sample.mapInArrow(_terms, "terms array<float>, label int").toArrow()
+    if not known.num_rows:
         return None
+    terms = known["terms"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(known.num_rows, -1)
+    marks = known["label"].to_numpy().astype(np.float32)
+    del known
     n, counts = _document_counts(thin.select("text"))
     weights = np.log((n + 1.0) / (counts + 1.0)) + 0.05
     weights[SLOTS:] = 1.0
-    space = Space(weights.astype(np.float32), np.empty(0), np.empty(0), known["label"].to_numpy(np.float32), neighbours, sharpness)
-    terms = np.stack(known["terms"].to_numpy())
-    space.axes = _leading_axes(space.weigh(terms).astype(float), rank)
-    space.points = space.place(terms).astype(np.float32)
+    space = Space(weights.astype(np.float32), np.empty(0), np.empty(0), marks, neighbours, sharpness)
+    space.axes = _leading_axes(space.weigh(terms), rank)
+    space.points = np.concatenate([space.place(terms[at : at + BLOCK]) for at in range(0, len(terms), BLOCK)]).astype(np.float32)
     return space
 
 
