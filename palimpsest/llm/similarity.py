@@ -405,7 +405,7 @@ def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_rows(found: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(bucket, doc, own): documents in buckets of three or more that are not safe.
+    """(bucket, doc, own, times): documents in buckets of three or more that are not safe; times: signatures that the bucket stands for.
 
     A document is safe while it shares fewer signatures with two or more others than its
     room: then it meets every partner in a bucket of two, which is compared anyway.
@@ -415,11 +415,11 @@ def _shared_rows(found: DataFrame, rooms: DataFrame) -> DataFrame:
     hot = found.where(f"kind = {HOT_ROW}").select(F.col("a").alias("bucket"), F.lit(1).cast("long").alias("times"), F.col("b").alias("doc"), (F.col("c") == 1).alias("own"))
     rows = lists.unionByName(hot.distinct())
     unsafe = rows.groupBy("doc").agg(F.sum("times").alias("shared")).join(rooms, "doc").where("shared >= room").select("doc")
-    return rows.select("bucket", "doc", "own").join(unsafe, "doc", "left_semi")
+    return rows.select("bucket", "doc", "own", "times").join(unsafe, "doc", "left_semi")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(bucket, doc, own, center): the smallest document of each bucket that is no guest is its centre."""
+    """(bucket, doc, own, times, center): the smallest document of each bucket that is no guest is its centre."""
     middle = rows.groupBy("bucket").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("center"), F.count("*").alias("members"))
     return rows.join(middle.where("center is not null and members > 1").select("bucket", "center"), "bucket")
 
@@ -427,16 +427,16 @@ def _stars(rows: DataFrame) -> DataFrame:
 def _left_apart(stars: DataFrame, labels: DataFrame, rooms: DataFrame) -> DataFrame:
     """(bucket, doc, own, component, before) of every bucket that still holds more than one component.
 
-    A document leaves out its largest buckets, one less than its room (all order buckets
-    alike, so the smallest bucket that a pair shares is kept by both).  before: the next
-    smaller buckets of the document, up to BEFORE.
+    A document leaves out its largest buckets, as long as they stand for fewer signatures
+    than its room (all order buckets alike, so the smallest bucket that a pair shares is
+    kept by both).  before: the next smaller buckets of the document, up to BEFORE.
     """
-    rows = stars.select("bucket", "doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    rows = stars.select("bucket", "doc", "own", "times").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc"))
     ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y")
     rows = rows.join(ends.select("bucket", "members"), "bucket").join(rooms, "doc")
     order = Window.partitionBy("doc").orderBy(F.desc("members"), "bucket")
-    rows = rows.withColumns({"hottest": F.row_number().over(order), "before": F.collect_list("bucket").over(order.rowsBetween(1, BEFORE))})
+    rows = rows.withColumns({"hottest": F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.collect_list("bucket").over(order.rowsBetween(1, BEFORE))})
     return rows.where("hottest >= room").select("bucket", "doc", "own", "component", "before")
 
 

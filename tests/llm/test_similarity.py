@@ -65,3 +65,31 @@ def test_families(spark):
 
 def test_centre_of_another_size(spark):
     check(spark, [excluded_family(random.Random(2), f"s{k}") for k in range(3)])
+
+
+def merged_family(small: str) -> list[list[str]]:
+    """2 and 3 link and differ in the cells of a few groups only; 1, similar to neither, differs from both just there.
+
+    So all signatures that 2 and 3 share have the same three members, and 1 is their centre.
+    """
+    bands = Bands(80)
+    band = int(np.searchsorted(bands.edges, 202, side="right")) - 1
+    cells = 3 * int(bands.groups[band])
+    words = [f"{small}{k}" for k in range(30_000)]
+    h = [int(shingle_sets(pa.array([w], pa.large_string()), 1)[0][0]) for w in words]
+    at = lambda k: ((h[k] >> 32) * cells) >> 32
+    chosen = {3 * g for g in range(12)}
+    inside = [k for k in range(len(words)) if at(k) in chosen]
+    rest = [k for k in range(len(words)) if at(k) not in chosen][:162]
+    tail = [next(k for k in inside if at(k) == c) for c in sorted(chosen)]
+    others = [k for k in inside if k not in set(tail)]
+    tail += others[:6]
+    head, more = others[6:46], others[46:103]
+    return [{words[k] for k in s} for s in (rest + more, head + rest + tail, head + rest)]
+
+
+def test_merged_signatures(spark):
+    """Signatures of equal members are one bucket, but as many signatures, when the largest are left out."""
+    families = [merged_family(f"m{k}") for k in range(3)]
+    assert [len(s) for s in families[0]] == [219, 220, 202]
+    check(spark, families)
