@@ -95,7 +95,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path).select("doc_id", "tokens", "file_name", "row_index")
     rows = rows.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, file_name string, row_index long")
     files = read_tokens(spark, path).groupBy("file_name").agg(F.sum(F.col("n_tokens").cast("long")).alias("total"))
-    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    # by number: names of more than 100,000 parts do not sort so
+    number = F.regexp_extract("file_name", r"part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(number, "file_name").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file_name", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file_name").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(files, "file_name").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

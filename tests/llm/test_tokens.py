@@ -126,3 +126,21 @@ def test_files(spark, tmp_path):
     empty = f"file://{tmp_path}/e"
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), empty, public_tokenizers.path(NAMES[1]))
     assert token_digest(spark, empty).count() == 0
+
+
+def test_many_files(spark, tmp_path):
+    """Files from part-99999 on are counted in the order of their numbers."""
+    docs = spark.createDataFrame([(k, f"text {k} " * (k % 7)) for k in range(300)], "doc_id long, text string")
+    path = tmp_path / "tokens"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    write_tokens(docs, str(path), public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = sorted(map(tuple, token_digest(spark, str(path)).collect()))
+    parts = sorted(path.glob("part-*"))
+    assert len(parts) > 2
+    for k, part in enumerate(parts):
+        part.rename(path / part.name.replace(f"part-{part.name[5:10]}", f"part-{99_998 + k}"))
+    for crc in path.glob(".part-*"):
+        crc.unlink()
+    assert sorted(map(tuple, token_digest(spark, str(path)).collect())) == want
+    assert [s for _, s, _, _ in want] == list(np.cumsum([0, *(n for _, _, n, _ in want[:-1])]))
