@@ -1,46 +1,13 @@
-"""Duplicates, greedy groups, merging and conflicts."""
+"""Duplicates, merging and conflicts (C02-C05, C07, C09, C11, C12); what depends on an order is in ``ordered``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import jaccard, same_name
 
 
-def greedy_groups(memories: DataFrame, least: float = 0.85, key: str = "user_id") -> DataFrame:
-    """Id, group (its first member's id): one pass in (created_at, id) order for each user.
-
-    Each ungrouped row opens a group, then every later ungrouped row that is similar to any
-    member so far joins it; so the result is not a transitive closure.  memories: id,
-    user_id, created_at, vector.  A user's vectors are compared in one task, by their nature.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)
-        m = np.array([np.asarray(v, float) for v in pdf["vector"]])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        group = np.full(len(m), -1)
-        for i in range(len(m)):
-            if group[i] >= 0:
-                continue
-            group[i] = i
-            near = m @ m[i] >= least
-            for j in range(i + 1, len(m)):
-                if group[j] < 0 and near[j]:
-                    group[j] = i
-                    near |= m @ m[j] >= least
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({key: pdf[key], "id": ids, "group": ids[group]})
-
-    kind = memories.schema["id"].dataType.simpleString()
-    rows = memories.select(key, "id", "created_at", "vector").where("vector is not null")
-    return rows.groupBy(key).applyInPandas(run, f"{key} {memories.schema[key].dataType.simpleString()}, id {kind}, group {kind}")
-
-
 def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each group of two or more: canonical id, joined content, unions, maxima and sums.
 

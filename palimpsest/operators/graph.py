@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import space_tokens
 from palimpsest.functions.vector import cosine
+from palimpsest.operators.cells import Cells
 from palimpsest.operators.folds import fold_sorted
-from palimpsest.operators.retrieval import first_n, unit_rows
+from palimpsest.operators.retrieval import first_n
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -121,45 +119,14 @@ def co_occurrence(lists: DataFrame, entities: str = "entity_ids") -> DataFrame:
     return rows.select(F.col("p.a").alias("source_id"), F.col("p.b").alias("target_id"), F.lit("co_occurs").alias("relation_type"), F.lit(0.5).alias("weight"))
 
 
-#: Rows of one side of a block that a task compares with another block.
-BLOCK = 2000
-
-
 def candidate_pairs(memories: DataFrame, least: float = 0.7, most: int = 50) -> DataFrame:
     """The ``most`` best pairs (a, b, score) of memories (id, vector, tags, memory_type) with cosine >= least.
 
-    score: cosine, and .05 more each for other tags and another type.  Vectors are dealt into
-    blocks of about BLOCK rows and each pair of blocks is one task's matrix product, so no
-    task holds more than two blocks; what is compared is every pair, as the rule asks.
+    score: cosine, and .05 more each for other tags (as sets) and another type.  Pairs are
+    compared cell by cell (see ``Cells``), and each task sends only its best ``most``.
     """
-    rows = memories.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), F.hash(F.array_sort(F.array_distinct("tags"))).alias("tags"), F.hash("memory_type").alias("type"))
-    n = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = rows.withColumn("task", F.explode(others)).select("task.i", "task.j", "block", "id", "vector", "tags", "type")
-    kind = memories.schema["id"].dataType.simpleString()
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        t = table.combine_chunks()
-        ids, tags, types = t["id"].combine_chunks(), t["tags"].to_numpy(), t["type"].to_numpy()
-        block, lists = t["block"].to_numpy(), t["vector"].combine_chunks()
-        out = []
-        for size in np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False)):
-            at, unit = unit_rows(lists, int(size))
-            left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
-            score = unit[left] @ unit[right].T
-            x, y = np.nonzero(score >= least)
-            score, x, y = score[x, y], at[left[x]], at[right[y]]
-            once = x < y if i == j else np.ones(len(x), bool)
-            x, y, score = x[once], y[once], score[once]
-            out.append((x, y, score + 0.05 * (tags[x] != tags[y]) + 0.05 * (types[x] != types[y])))
-        x, y, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        x, y = ids.take(pa.array(x)), ids.take(pa.array(y))
-        less = pc.less(x, y)
-        return pa.table({"a": pc.if_else(less, x, y), "b": pc.if_else(less, y, x), "score": score})
-
-    pairs = dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, score double")
+    rows = memories.select("id", "vector", F.array_sort(F.array_distinct("tags")).alias("tags"), "memory_type")
+    pairs = Cells(rows, more=("tags", "memory_type")).pairs(least, most, 0.05)
     return pairs.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(most)
 
 

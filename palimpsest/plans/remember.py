@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import entities, extracted_importance, language_of, letter_counts, memory_type, sentences, tags
-from palimpsest.operators.dedup import greedy_groups, merge_groups
+from palimpsest.operators.dedup import merge_groups
+from palimpsest.operators.ordered import greedy_groups
 from palimpsest.operators.lifecycle import decayed
 
 

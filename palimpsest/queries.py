@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
-from palimpsest.operators import dedup, evaluate, graph, lifecycle, metrics, profile, retrieval
+from palimpsest.operators import dedup, evaluate, graph, lifecycle, metrics, ordered, profile, retrieval
 from palimpsest.plans import recall as recall_plan
 from palimpsest.plans import remember
 from palimpsest.sources import files, interchange, store
@@ -678,10 +678,29 @@ def a25_federated_mean(spark, sf):
     return metrics.federated_mean(rows).select("key", F.round(F.col("mean")[0], 6).alias("mean"))
 
 
-@query()
+def _user_vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("vec_id").alias("created_at"), F.col("embedding").alias("vector"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4),
+ r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+ SELECT label AS user_id, r.id, min(root) AS group FROM r JOIN embeddings ON vec_id = r.id GROUP BY 1, 2""".replace("AS group", 'AS "group"')
+)
 def c01_greedy_groups(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("vec_id").alias("created_at"), F.col("embedding").alias("vector"))
-    return dedup.greedy_groups(e, 0.4)
+    return ordered.greedy_groups(_user_vectors(spark, sf), 0.4)
+
+
+@query()
+def c06_merge_batch(spark, sf):
+    """Memories of odd ids come to those of even ids."""
+    m = memories(spark, sf)
+    return ordered.merge_batch(m.where("id % 2 = 1"), m.where("id % 2 = 0"), 0.9)
+
+
+@query()
+def c10_seed_clusters(spark, sf):
+    return ordered.seed_clusters(_user_vectors(spark, sf), 0.4, key="user_id")
 
 
 @query(

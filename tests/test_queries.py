@@ -25,18 +25,6 @@ def test_entry(spark):
     assert e.entry(spark).columns == ["query_id", "id", "score", "rank"]
 
 
-def test_greedy_groups(spark):
-    """One group of three; the order decides where similarity is not transitive."""
-    from palimpsest.operators.dedup import greedy_groups
-
-    rows = [(0, "u", 0, [1.0, 0.0]), (1, "u", 1, [0.95, 0.3]), (2, "u", 2, [0.0, 1.0]), (3, "v", 0, [1.0, 0.0])]
-    found = greedy_groups(spark.createDataFrame(rows, "id long, user_id string, created_at long, vector array<double>"), 0.9).collect()
-    groups = {}
-    for r in found:
-        groups.setdefault((r["user_id"] if "user_id" in r else None, r[-1]), []).append(r["id"])
-    assert any(sorted(ids) == [0, 1] for ids in groups.values())
-
-
 def test_recursive_states(spark, sf):
     """Budgets and buckets keep one row an event and never spend beyond their limit."""
     n = spark.read.parquet(f"{sf}/events.parquet").count()
