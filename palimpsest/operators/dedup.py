@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import jaccard, same_name
+from palimpsest.functions.text import jaccard
 
 
 def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
@@ -74,20 +74,6 @@ def merge_two(a: DataFrame, b: DataFrame, keep: str = "longer") -> DataFrame:
     return x.join(y, "id").select("id", F.when(pick, F.col("x.content")).otherwise(F.col("y.content")).alias("content"), F.array_sort(F.array_union("x.tags", "y.tags")).alias("tags"), F.greatest("x.importance", "y.importance").alias("importance"))
 
 
-def resolve_entities(names: DataFrame, known: DataFrame) -> DataFrame:
-    """Names (name, entity_type) -> known id: equal, then similar names of the type; the smallest id.
-
-    Blocked by type and first letter or by equality, so that only likely names are compared.
-    """
-    n = names.select("name", "entity_type").distinct()
-    first = lambda c: F.lower(F.substring(c, 1, 1))
-    k = known.select("id", F.col("name").alias("known_name"), F.col("entity_type"), first("name").alias("_f"))
-    joined = n.withColumn("_f", first("name")).join(k, ["entity_type", "_f"])
-    rows = joined.where(same_name(F.col("name"), F.col("known_name")))
-    rank = F.when(F.lower("name") == F.lower("known_name"), 0).otherwise(1)
-    return rows.groupBy("name", "entity_type").agg(F.min(F.struct(rank.alias("r"), "id"))["id"].alias("id"))
-
-
 def time_chunks(memories: DataFrame, size: int = 10, by: str = "user_id") -> DataFrame:
     """C11: consecutive chunks of ``size`` rows in age order; chunks of one row are dropped."""
     order = Window.partitionBy(by).orderBy("created_at", "id")

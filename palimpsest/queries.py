@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
-from palimpsest.operators import dedup, evaluate, graph, lifecycle, metrics, ordered, profile, retrieval
+from palimpsest.operators import dedup, entities, evaluate, graph, lifecycle, metrics, ordered, profile, retrieval
 from palimpsest.plans import recall as recall_plan
 from palimpsest.plans import remember
 from palimpsest.sources import files, interchange, store
@@ -691,6 +691,31 @@ def c01_greedy_groups(spark, sf):
     return ordered.greedy_groups(_user_vectors(spark, sf), 0.4)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(spark, sf, name):
+    """Distinct words of a table's texts (a sign for each letter beyond ASCII) with the counts of their letters as vectors."""
+    words = table(spark, sf, name).select(F.explode(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "~"), " ")).alias("name")).where("name != ''").distinct()
+    counts = F.array(*((F.length("name") - F.length(F.replace(F.lower("name"), F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    return words.withColumn("vector", counts)
+
+
+_NAMES = """SELECT name, lower(name) AS low, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(name) - length(replace(lower(name), c, '')))::DOUBLE) AS v
+ FROM (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g'), ' ')) AS name FROM {}) WHERE name <> ''"""
+
+
+@query(
+    f"""WITH n AS ({_NAMES.format("benchmark")}), k AS ({_NAMES.format("conversations")}),
+ p AS (SELECT n.name, k.name AS known, n.low = k.low AS same, list_cosine_similarity(n.v, k.v) AS score FROM n, k WHERE contains(n.low, k.low) OR contains(k.low, n.low) OR (abs(length(n.low) - length(k.low)) <= 2 AND levenshtein(n.low, k.low) <= 2)),
+ f AS (SELECT name, min(known) FILTER (WHERE same) AS e, min(known) FILTER (WHERE NOT same AND NOT isnan(score) AND round(score, 9) >= 0.85) AS s FROM p GROUP BY 1)
+ SELECT n.name, coalesce(e, s) AS id, e IS NOT NULL AS exact FROM n LEFT JOIN f USING (name)"""
+)
+def c09_entities(spark, sf):
+    known = _words(spark, sf, "conversations").select(F.col("name").alias("id"), "name", "vector", F.col("name").alias("position"))
+    return entities.resolve_entities(_words(spark, sf, "benchmark"), known)
+
+
 @query()
 def c06_merge_batch(spark, sf):
     """Memories of odd ids come to those of even ids."""
