@@ -1,4 +1,4 @@
-"""Decay, retention, tiers and governance."""
+"""Decay, importance, retention, tiers and governance."""
 
 from __future__ import annotations
 
@@ -20,11 +20,38 @@ def forgotten(memories: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def scored(memories: DataFrame, now: Column) -> DataFrame:
-    """Column score."""
+    """Column score."""
     days = days_between(now, F.col("last_accessed"))
     return memories.withColumn("score", importance_score(F.col("importance"), F.col("access_count"), F.size("entity_ids"), days, F.col("memory_type")))
 
 
+def predicted_importance(memories: DataFrame, log: DataFrame, now: Column, keywords: list[str] | None = None) -> DataFrame:
+    """(id, predicted) in [0, 1] of memories (id, content, created_at, entity_ids) and their accesses, log (id).
+
+    A quarter for recency, linear over a year; .3 for accesses, up to ten; a quarter for
+    richness (length up to 1,000, entities up to five); .2 for the share of ``keywords`` in
+    the content, or .1 without keywords.  Accesses are counted before they are joined.
+    """
+    counts = log.groupBy("id").agg(F.count("*").alias("_accesses"))
+    rows = memories.join(counts, "id", "left")
+    part = lambda c, most: F.least(F.coalesce(c, F.lit(0)) / F.lit(float(most)), F.lit(1.0))
+    recency = F.greatest(F.lit(0.0), 1.0 - days_between(now, F.col("created_at")) / 365.0)
+    rich = (part(F.length("content"), 1000) + part(F.greatest(F.size("entity_ids"), F.lit(0)), 5)) / 2.0
+    if keywords:
+        text = F.lower(F.coalesce("content", F.lit("")))
+        hits = sum((F.contains(text, F.lit(k.lower())).cast("int") for k in keywords), F.lit(0))
+        aligned = F.least(hits / len(keywords), F.lit(1.0)) * 0.2
+    else:
+        aligned = F.lit(0.1)
+    score = recency * 0.25 + part(F.col("_accesses"), 10) * 0.3 + rich * 0.25 + aligned
+    return rows.select("id", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("predicted"))
+
+
+def query_keywords(query: str) -> list[str]:
+    """Words of more than two letters, without marks at their ends."""
+    return [w for w in (x.strip(".,!?;:'\"()-[]{}<>") for x in query.split()) if len(w) > 2]
+
+
 def faded_attributes(attributes: DataFrame, now: Column, life: float = 30.0, least: float = 0.1) -> DataFrame:
     """Attributes (user_id, name, value, confidence, updated_at) with decayed confidence, above the least."""
     age = days_between(now, F.col("updated_at"))
@@ -78,11 +105,46 @@ def status(memories: DataFrame, now: Column, stale_days: float = 90.0) -> DataFr
 
 
 def purge_due(records: DataFrame, policies: DataFrame, now: Column) -> DataFrame:
-    """Records (id, category, created_at, legal_hold) whose category's policy lets them be deleted."""
+    """Records (id, category, created_at, legal_hold) whose category's policy lets them be deleted."""
     joined = records.join(policies, "category")
     return joined.where(F.col("auto_delete") & ~F.col("legal_hold") & (days_between(now, F.col("created_at")) > F.col("retention_days"))).select(*records.columns)
 
 
+def compliance(records: DataFrame, policies: DataFrame, now: Column) -> DataFrame:
+    """(id, category, issue): of each record that is not deleted, no_policy, retention_exceeded or null for none.
+
+    records: id, category, created_at, deleted; policies: category, retention_days (null or
+    0: for ever), legal_hold.  Ages are whole days; a legal hold excuses any age.
+    """
+    own = policies.select("category", "retention_days", "legal_hold", F.lit(True).alias("_known"))
+    rows = records.where(~F.col("deleted")).join(own, "category", "left")
+    late = (F.coalesce("retention_days", F.lit(0)) > 0) & (F.floor(days_between(now, F.col("created_at"))) > F.col("retention_days")) & ~F.col("legal_hold")
+    issue = F.when(F.col("_known").isNull(), "no_policy").when(late, "retention_exceeded")
+    return rows.select("id", "category", issue.alias("issue"))
+
+
+def compliance_rate(found: DataFrame) -> DataFrame:
+    """One row of n_compliant, n_issues and rate (per cent to two places, 100 without records) of ``compliance``."""
+    n, bad = F.count("*"), F.count("issue")
+    return found.agg((n - bad).alias("n_compliant"), bad.alias("n_issues"), F.when(n > 0, F.round((n - bad) / n * 100, 2)).otherwise(100.0).alias("rate"))
+
+
+def erasures(requests: DataFrame, records: DataFrame, policies: DataFrame) -> DataFrame:
+    """(request_id, id, category) of the records that pending requests delete; a record goes with its first request.
+
+    requests: request_id, user_id, tenant_id, status, categories (null or empty: all).  A
+    record goes if user and tenant are those of the request, it is not deleted, its category
+    has a policy without legal hold and is among those asked for; without asked categories
+    the policy must say gdpr_applies.
+    """
+    open_ = requests.where("status = 'pending'").select("request_id", "user_id", "tenant_id", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))
+    mine = records.where(~F.col("deleted")).join(open_, ["user_id", "tenant_id"])
+    rules = policies.where(~F.col("legal_hold")).select("category", "gdpr_applies")
+    every = F.size("categories") == 0
+    due = mine.join(rules, "category").where((every & F.col("gdpr_applies")) | F.array_contains("categories", F.col("category")))
+    return due.groupBy("id", "category").agg(F.min("request_id").alias("request_id")).select("request_id", "id", "category")
+
+
 def transitions(history: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows of a state history (id, seq, state) with ``valid``: the step from the previous state is allowed."""
     w = Window.partitionBy("id").orderBy("seq")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
-from palimpsest.operators import dedup, entities, evaluate, graph, lifecycle, metrics, ordered, profile, retrieval
+from palimpsest.operators import dedup, diffs, entities, evaluate, graph, lifecycle, metrics, multimodal, ordered, prefetch, profile, retrieval
 from palimpsest.plans import recall as recall_plan
 from palimpsest.plans import remember
 from palimpsest.sources import files, interchange, store
@@ -753,6 +753,112 @@ def e09_batch_cost(spark, sf):
     return evaluate.batch_cost(table(spark, sf, "documents"), 32).select(F.col("batches").cast("long").alias("batches"), F.col("tokens").cast("long").alias("tokens"))
 
 
+# --- prediction, differences, modalities ----------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, event_type AS q, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events),
+ l AS (SELECT user_id, ts, q, n, lag(q, 1) OVER w AS q1, lag(q, 2) OVER w AS q2, lead(q) OVER w AS nx FROM o WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+ c AS (SELECT user_id, ts, nx, 1 AS length, q AS context FROM l UNION ALL SELECT user_id, ts, nx, 2, q1 || chr(31) || q FROM l UNION ALL SELECT user_id, ts, nx, 3, q2 || chr(31) || q1 || chr(31) || q FROM l),
+ t AS (SELECT context, length, nx AS next_query, min(ROW(ts, user_id)) AS first FROM c WHERE nx IS NOT NULL AND context IS NOT NULL GROUP BY ALL),
+ r AS (SELECT c.user_id AS query_id, c.length, c.context FROM c JOIN l ON l.user_id = c.user_id AND l.ts = c.ts AND l.nx IS NULL WHERE c.nx IS NULL AND c.context IS NOT NULL),
+ h AS (SELECT query_id, r.length, next_query, first FROM r JOIN t USING (context, length) QUALIFY r.length = max(r.length) OVER (PARTITION BY query_id))
+ SELECT query_id, next_query, length, row_number() OVER (PARTITION BY query_id ORDER BY first, next_query) AS rank FROM h QUALIFY rank <= 3"""
+)
+def w05_backoff(spark, sf):
+    log = table(spark, sf, "events").select("user_id", "ts", F.col("event_type").alias("query"))
+    last = log.groupBy(F.col("user_id").alias("query_id")).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "query")))), 1, 3).alias("r"))
+    recent = last.select("query_id", F.reverse(F.transform("r", lambda x: x["query"])).alias("queries"))
+    return prefetch.predict_next(prefetch.context_table(log, 1, 3), recent, 1, 3)
+
+
+@query()
+def j13_line_diffs(spark, sf):
+    """The turns of a conversation as versions of one text, each against the next."""
+    v = table(spark, sf, "conversations").select(F.col("conv_id").alias("memory_id"), F.col("turn").alias("version"), F.col("text").alias("content"))
+    pairs = v.select("memory_id", F.col("version").alias("version_a"), (F.col("version") + 1).alias("version_b"))
+    found = diffs.version_diffs(v, pairs).where("patch is not null")
+    return found.select("memory_id", "version_a", "version_b", "n_removed", "n_added", F.sha2("patch", 256).alias("digest"))
+
+
+def _modal(spark, sf):
+    e = table(spark, sf, "embeddings")
+    kind = F.when(F.col("label") % 3 == 0, "image").when(F.col("label") % 3 == 1, "audio").otherwise("text")
+    return e.select(F.col("vec_id").alias("id"), kind.alias("modality"), F.when(kind == "audio", F.slice("embedding", 1, 40)).otherwise(F.col("embedding")).alias("vector"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS id, CASE label % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'text' END AS modality, list_transform(range(1, 49), lambda i: CASE WHEN label % 3 = 1 AND i > 40 THEN 0.0::DOUBLE ELSE embedding[i]::DOUBLE END) AS v FROM embeddings),
+ s AS (SELECT q.id AS query_id, e.id, e.modality, list_cosine_similarity(q.v, e.v) AS score FROM e q, e WHERE q.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(score, 9) DESC, e.id) <= 20),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY round(score, 9) DESC, id) AS rk FROM s WHERE modality IN ('image', 'audio')),
+ f AS (SELECT query_id, id, modality, score AS own, 1.0::DOUBLE / (60 + rk) AS raw FROM r)
+ SELECT query_id, id, modality, round(own, 6) AS own, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM f"""
+)
+def v26_cross_modal(spark, sf):
+    items = multimodal.align(_modal(spark, sf), {}, 48)
+    asked = items.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = multimodal.cross_modal_search(asked, items, 20, ["image", "audio"])
+    entry = F.map_entries("modality_scores")[0]
+    return found.select("query_id", "id", entry["key"].alias("modality"), F.round(entry["value"], 6).alias("own"), F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH p AS (SELECT list_cosine_similarity(a.embedding[1:48]::DOUBLE[], b.embedding[1:48]::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+ SELECT round(avg(s), 6) AS mean_similarity, round(min(s), 6) AS min_similarity, round(max(s), 6) AS max_similarity FROM p"""
+)
+def v27_alignment(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("text").alias("modality"), F.col("embedding").alias("vector"))
+    a = multimodal.align(e, {}, 48)
+    pairs = a.select((F.col("id") + 1).alias("id"), F.col("vector").alias("vector_a")).join(a.select("id", F.col("vector").alias("vector_b")), "id")
+    return multimodal.alignment_quality(pairs).select(*(F.round(c, 6).alias(c) for c in ("mean_similarity", "min_similarity", "max_similarity")))
+
+
+@query(
+    MEMORIES
+    + f""", a AS (SELECT user_id * 7 % (SELECT count(*) FROM documents) AS id, count(*) AS n FROM events GROUP BY 1)
+ SELECT m.id, round(least(1.0, greatest(0.0, greatest(0.0, 1 - {DAYS.format("created_at")} / 365) * 0.25 + least(coalesce(n, 0) / 10.0, 1) * 0.3
+ + (least(coalesce(length(content), 0) / 1000.0, 1) + least(len(entity_ids) / 5.0, 1)) / 2 * 0.25 + (contains(lower(content), 'the')::INT + contains(lower(content), 'licensed')::INT) / 2.0 * 0.2)), 6) AS predicted
+ FROM m LEFT JOIN a ON a.id = m.id"""
+)
+def d05_predicted_importance(spark, sf):
+    m = memories(spark, sf)
+    log = table(spark, sf, "events").select((F.col("user_id") * 7 % F.lit(m.count())).alias("id"))
+    words = lifecycle.query_keywords("the 'licensed' of")
+    return lifecycle.predicted_importance(m, log, _now(), words).select("id", F.round("predicted", 6).alias("predicted"))
+
+
+_POLICIES = "(VALUES ('click', 10, false, true), ('view', 20, true, true), ('signup', 0, false, false), ('purchase', 5, false, false)) AS p(category, retention_days, legal_hold, gdpr_applies)"
+
+
+def _records(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), F.col("ts").alias("created_at"), (F.col("event_id") % 7 == 0).alias("deleted"), "user_id", (F.col("user_id") % 3).alias("tenant_id"))
+    policies = spark.createDataFrame([("click", 10, False, True), ("view", 20, True, True), ("signup", 0, False, False), ("purchase", 5, False, False)], "category string, retention_days int, legal_hold boolean, gdpr_applies boolean")
+    return rows, policies
+
+
+@query(
+    f"""WITH f AS (SELECT e.event_type, CASE WHEN p.category IS NULL THEN 'no_policy' WHEN retention_days > 0 AND floor({DAYS.format("ts")}) > retention_days AND NOT legal_hold THEN 'retention_exceeded' END AS issue
+ FROM events e LEFT JOIN {_POLICIES} ON p.category = e.event_type WHERE event_id % 7 <> 0)
+ SELECT count(*) - count(issue) AS n_compliant, count(issue) AS n_issues, round((count(*) - count(issue)) / count(*) * 100, 2) AS rate FROM f"""
+)
+def d16_compliance(spark, sf):
+    rows, policies = _records(spark, sf)
+    return lifecycle.compliance_rate(lifecycle.compliance(rows, policies, _now()))
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT user_id, user_id % 2 AS tenant_id, CASE WHEN user_id % 4 = 1 THEN ['purchase', 'view'] END AS categories FROM events WHERE user_id % 5 = 1)
+ SELECT r.user_id AS request_id, e.event_id AS id, e.event_type AS category FROM r JOIN events e ON e.user_id = r.user_id AND e.user_id % 3 = r.tenant_id JOIN {_POLICIES} ON p.category = e.event_type
+ WHERE event_id % 7 <> 0 AND NOT legal_hold AND CASE WHEN categories IS NULL THEN gdpr_applies ELSE list_contains(categories, e.event_type) END"""
+)
+def d17_erasures(spark, sf):
+    rows, policies = _records(spark, sf)
+    asked = F.when(F.col("user_id") % 4 == 1, F.array(F.lit("purchase"), F.lit("view")))
+    requests = table(spark, sf, "events").where("user_id % 5 = 1").select("user_id").distinct()
+    requests = requests.select(F.col("user_id").alias("request_id"), "user_id", (F.col("user_id") % 2).alias("tenant_id"), F.lit("pending").alias("status"), asked.alias("categories"))
+    return lifecycle.erasures(requests, rows, policies)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
