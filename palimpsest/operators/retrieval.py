@@ -10,11 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.functions.scoring import temporal_score
 from palimpsest.functions.text import keyword_tokens
 
-#: Queries that one pass over the corpus holds as a matrix; more are done in further passes.
+#: Queries that a task holds as a matrix; more are dealt into blocks.
 BLOCK = 2048
 
 
@@ -65,32 +66,74 @@ def _matrix_scan(sized: list[tuple[list, np.ndarray, np.ndarray]], k: int | None
     return run
 
 
+def _grid_scan(k: int | None, least: float | None, query_type: pa.DataType):
+    """Rows sorted by (block, slice, is_item): a block's queries, then the items of a slice, streamed past them.
+
+    Columns: block, slice, is_item, query_id, id, vector, owner.  Only a block's queries are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, queries, scan = None, [], None
+
+        def ready():
+            rows = pa.Table.from_batches(queries).combine_chunks()
+            ids, owners, lists = rows["query_id"].to_pylist(), np.array(rows["owner"].to_pylist(), object), rows["vector"].combine_chunks()
+            sizes = sorted({n for n in pc.list_value_length(lists).to_pylist() if n})
+            sized = [([ids[j] for j in at], unit, owners[at]) for at, unit in (unit_rows(lists, n) for n in sizes)]
+            return _matrix_scan(sized, k, least, query_type)
+
+        for batch in batches:
+            marks = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for begin, end in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+                here, piece = (marks[0][begin], marks[1][begin]), batch.slice(begin, end - begin)
+                if here != cell:
+                    cell, queries, scan = here, [], None
+                if not marks[2][begin]:
+                    queries.append(piece.select(["query_id", "vector", "owner"]))
+                elif queries:
+                    scan = scan or ready()
+                    yield from scan(iter([piece.select(["id", "vector", "owner"])]))
+
+    return run
+
+
+#: Rows of the corpus for each slice that a block of queries meets in one task.
+SLICE = 200_000
+
+
 def vector_matches(queries: DataFrame, corpus: DataFrame, k: int | None = 10, least: float | None = None, by: str | None = None) -> DataFrame:
     """(query_id, id, score) by cosine, the exact best k or all scores from ``least`` on.
 
-    queries: query_id, vector; corpus: id, vector; only vectors of one length are compared.  Queries come in blocks of BLOCK rows that
-    the driver holds; the corpus is read once a block and never shuffled: each batch keeps
-    its best k of each query, and only those meet for the final ranks.  With ``by``, a column of
-    both sides, a query where it is not null sees only the rows that are equal there, before any cut.
+    queries: query_id, vector; corpus: id, vector; only vectors of one length are compared.
+    Up to BLOCK queries are held by every task as a matrix, and the corpus is read once and
+    not shuffled.  More queries are dealt into blocks and the corpus into slices of about
+    SLICE rows; a task streams one slice past one block, so neither side passes through the
+    driver and the plan does not grow with the queries.  Each batch keeps its best k of each
+    query, and only those meet for the final ranks.  With ``by``, a column of both sides, a
+    query where it is not null sees only the rows that are equal there, before any cut.
     """
-    own = [by] if by else []
-    spark = corpus.sparkSession
-    ordered = queries.select("query_id", "vector", *own).where("vector is not null")
+    owner = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), owner.alias("owner"))
+    items = corpus.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), owner.alias("owner"))
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
-    arrow = [pa.int64() if queries.schema[c].dataType.simpleString() == "bigint" else pa.string() for c in ("query_id",)]
-    n = ordered.count()
-    blocks = math.ceil(n / BLOCK)
-    out = spark.createDataFrame([], kinds)
-    numbered = ordered.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
-    for b in range(blocks):
-        block = numbered.where(F.col("_block") == b).orderBy("query_id").toPandas()
-        if not len(block):
-            continue
-        vectors, ids = pa.array([list(map(float, v)) for v in block["vector"]], pa.list_(pa.float64())), block["query_id"].tolist()
-        owners = np.array([None if v is None or v != v else v for v in block[by]] if by else [None] * len(block), object)
-        sized = [([ids[j] for j in at], rows, owners[at]) for at, rows in (unit_rows(vectors, n) for n in sorted({len(v) for v in block["vector"]}))]
-        scan = _matrix_scan(sized, k, least, arrow[0])
-        out = out.unionByName(corpus.select("id", "vector", *own).where("vector is not null").mapInArrow(scan, kinds))
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+    few = asked.limit(BLOCK + 1).toArrow()
+    if not few.num_rows:
+        return asked.sparkSession.createDataFrame([], kinds + ("" if k is None else ", rank int"))
+    if few.num_rows <= BLOCK:
+        ids, owners, vectors = few["query_id"].to_pylist(), np.array(few["owner"].to_pylist(), object), few["vector"].combine_chunks()
+        sizes = sorted({n for n in pc.list_value_length(vectors).to_pylist() if n})
+        sized = [([ids[j] for j in at], unit, owners[at]) for at, unit in (unit_rows(vectors, n) for n in sizes)]
+        out = items.mapInArrow(_matrix_scan(sized, k, least, query_type), kinds)
+    else:
+        blocks, slices = math.ceil(asked.count() / BLOCK), max(1, math.ceil(items.count() / SLICE))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select(deal("query_id", blocks).alias("block"), every(slices).alias("slice"), F.lit(False).alias("is_item"), "query_id", F.lit(None).cast(corpus.schema["id"].dataType).alias("id"), "vector", "owner")
+        right = items.select(every(blocks).alias("block"), deal("id", slices).alias("slice"), F.lit(True).alias("is_item"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", "vector", "owner")
+        cells = left.unionByName(right).repartition("block", "slice").sortWithinPartitions("block", "slice", "is_item")
+        out = cells.mapInArrow(_grid_scan(k, least, query_type), kinds)
     if k is None:
         return out
     return first_n(out, k, ["query_id"], F.desc(F.round("score", 9)), F.col("id")).select("query_id", "id", "score", "rank")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from palimpsest import queries as library
-from palimpsest.operators import cells, graph, ordered
+from palimpsest.operators import cells, graph, ordered, retrieval
 
 
 def cosine(x, y) -> float:
@@ -196,3 +196,24 @@ def test_queries(spark, sf):
     rows = [(r.id, r.user_id, r.created_at, list(r.vector)) for r in library._user_vectors(spark, sf).collect()]
     got = {r.id: r.cluster for r in library.QUERIES["c10_seed_clusters"](spark, sf).collect()}
     assert got == plain_clusters(rows, 0.4, 10, 2)
+
+
+def test_query_blocks(spark, monkeypatch):
+    """Queries in several blocks, the corpus in several slices: as in one block and as in a loop; owners and lengths apart."""
+    rng = random.Random(6)
+    corpus = [(k, v, rng.choice("xy")) for k, v in enumerate(vectors(rng, 150))] + [(500, [1.0, 2.0], "x"), (501, None, "x")]
+    asked = [(f"q{k}", v, rng.choice(["x", None])) for k, v in enumerate(vectors(rng, 40))] + [("short", [2.0, 1.0], None), ("none", None, None)]
+    q = spark.createDataFrame(asked, "query_id string, vector array<double>, owner_id string")
+    c = spark.createDataFrame(corpus, "id long, vector array<double>, owner_id string")
+    want = {}
+    for name, x, o in asked:
+        near = sorted((-(cosine(x, v) if any(x) and any(v) else 0.0), k) for k, v, w in corpus if x and v and len(x) == len(v) and o in (None, w))
+        want[name] = [k for _, k in near[:5]]
+    for block, size in ((2048, 200_000), (7, 20)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "SLICE", size)
+        got = {}
+        for r in retrieval.vector_matches(q, c, 5, by="owner_id").orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == {k: v for k, v in want.items() if v}
+    assert retrieval.vector_matches(q.limit(0), c, 5).columns == ["query_id", "id", "score", "rank"]
