@@ -45,7 +45,7 @@ def keyword_tokens(text: Column) -> Column:
 
 def space_tokens(text: Column) -> Column:
     """Distinct lower-cased tokens between white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"\s+")), "")
 
 
 def sentences(text: Column) -> Column:

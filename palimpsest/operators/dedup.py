@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import jaccard
+from palimpsest.functions.text import space_tokens
+from palimpsest.operators.shared import stored
 
 
 def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
@@ -39,20 +40,26 @@ def near_texts(memories: DataFrame, least: float = 0.9) -> DataFrame:
     filter: tokens ordered from rare to frequent; similar sets share one of their first
     (1 - least) * n + 1 tokens, so only those are joined.  Texts without tokens pair nothing.
     """
-    from palimpsest.functions.text import space_tokens
-
-    sets = memories.select("id", F.array_sort(space_tokens(F.col("content"))).alias("w")).where(F.size("w") > 0)
-    sets = sets.withColumn("mark", F.sha2(F.array_join("w", "\n"), 256))
-    first = sets.groupBy("mark").agg(F.min("id").alias("head"))
+    sets = memories.select("id", F.sort_array(space_tokens(F.col("content"))).alias("w")).where(F.size("w") > 0)
+    sets = stored(sets.withColumns({"mark": F.sha2(F.array_join("w", "\n"), 256), "n": F.size("w")}), "sets")
+    first = stored(sets.groupBy("mark").agg(F.min("id").alias("head")), "heads")
     copies = sets.select("id", "mark").join(first, "mark").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    words = sets.join(first, [sets.mark == first.mark, sets.id == first["head"]], "left_semi").select("id", "w", F.size("w").alias("n"))
-    rows = words.select("id", "n", F.explode("w").alias("word"))
-    freq = rows.groupBy("word").agg(F.count("*").alias("df"))
+    words = sets.join(first.select(F.col("head").alias("id")), "id", "left_semi").select("id", "w", "n")
+    words = stored(words, "words")
+    rows = words.select("id", "n", F.explode("w").alias("text")).select("id", "n", F.xxhash64("text").alias("word"))
+    # words of one text alone come first in the order, but pair nothing: they are counted, not sorted
+    freq = rows.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(rows.join(freq, "word"), "shared")
+    open_ = shared.groupBy("id", "n").agg(F.count("*").alias("m")).select("id", (F.col("n") - F.col("m")).alias("alone"), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).alias("last")).where("alone < last")
     order = Window.partitionBy("id").orderBy("df", "word")
-    prefix = rows.join(freq, "word").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word")
-    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    pairs = a.join(b, "word").where("a < b").where((F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select("a", "b").distinct()
+    prefix = shared.join(open_, "id").withColumn("pos", F.col("alone") + F.row_number().over(order)).where("pos <= last")
+    prefix = stored(prefix.select("id", "n", "word", "pos"), "prefixes")
+    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word", F.col("pos").alias("pa"))
+    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word", F.col("pos").alias("pb"))
+    sizes = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    # all common words stand at or behind the first one that both prefixes have
+    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    pairs = a.join(b, "word").where("a < b").where(sizes & reach).select("a", "b").distinct()
     full = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     scored = full.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard"))
