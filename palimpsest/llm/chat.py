@@ -138,11 +138,28 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log: each row is one ``message`` event.
+    """A table of turns (conv_id, turn, role, text) as a log of events whose fold gives the turns again.
 
-    Turns are ordered by (turn, role, text); rows that repeat exactly are messages of their own.
+    An assistant's turn was streamed: a draft in two deltas, a regeneration, then the text in
+    three deltas.  A user's turn was a message of its first half that was edited.  Any other
+    turn is one message.  Turns are ordered by (turn, role, text); rows that repeat exactly
+    are messages of their own.  Null texts are empty, null conv_ids are one conversation, an
+    empty table gives an empty log.
     """
     n = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     rows = rows.withColumn("at", F.row_number().over(n))
-    return rows.select("conv_id", F.struct("turn", "at").alias("seq"), F.struct("turn", "at").alias("message_id"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), "text")
+    size = F.length("text")
+    third = F.floor(size / 3).cast("int")
+    part = lambda begin, length: F.substring("text", begin, length)
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    half = part(F.lit(1), F.floor(size / 2).cast("int"))
+    streamed = F.array(
+        event("delta", half), event("delta", F.reverse(half)), event("regenerate", F.lit("")),
+        event("delta", part(F.lit(1), third)), event("delta", part(third + 1, third)), event("delta", part(2 * third + 1, size)),
+    )
+    edited = F.array(event("message", half), event("edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", streamed).when(F.col("role") == "user", edited).otherwise(F.array(event("message", F.col("text"))))
+    each = rows.select("conv_id", "turn", "at", "role", F.posexplode(events).alias("step", "e"))
+    return each.select("conv_id", F.struct("turn", "at", "step").alias("seq"), F.struct("turn", "at").alias("message_id"), "e.kind", "role", "e.text")

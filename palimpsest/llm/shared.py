@@ -12,10 +12,12 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (local tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one with a local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext.getCheckpointDir()
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = found or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         if not found:
             spark.sparkContext.setCheckpointDir(path)
