@@ -16,6 +16,7 @@ from palimpsest.plans import recall as recall_plan
 from palimpsest.plans import remember
 from palimpsest.sources import files, interchange, store
 from palimpsest.streaming import events as streams
+from palimpsest.streaming import profiles, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -753,6 +754,32 @@ def e09_batch_cost(spark, sf):
     return evaluate.batch_cost(table(spark, sf, "documents"), 32).select(F.col("batches").cast("long").alias("batches"), F.col("tokens").cast("long").alias("tokens"))
 
 
+# --- streams: the same functions over tables -------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT event_id AS id, ts, unnest([event_type, 'u' || user_id % 20]) AS term FROM events),
+ q AS (SELECT event_id AS query_id, ts, unnest(['purchase', 'u' || user_id % 20]) AS term FROM events WHERE event_type = 'error'),
+ f AS (SELECT DISTINCT query_id, id, d.ts FROM d JOIN q ON d.term = q.term AND d.ts <= q.ts AND d.ts >= q.ts - INTERVAL 2 HOUR)
+ SELECT query_id, id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 10"""
+)
+def r10_window_search(spark, sf):
+    e = table(spark, sf, "events")
+    user = F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))
+    docs = e.select(F.col("event_id").alias("id"), "ts", "event_type", F.array(F.upper(user)).alias("tags"))
+    asked = e.where("event_type = 'error'").select(F.col("event_id").alias("query_id"), "ts", F.concat(F.lit("Purchase "), user).alias("query"))
+    return search.window_search(docs, asked, "2 hours", limit=10).select("query_id", "id")
+
+
+@query()
+def f02_profile_updates(spark, sf):
+    """Each day's most frequent event of a user is that day's inferred preference."""
+    e = table(spark, sf, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("at"), "event_type").agg(F.count("*").alias("n"))
+    day = e.groupBy("user_id", "at").agg(F.max(F.struct("n", "event_type")).alias("m"), F.sum("n").alias("total"))
+    sure = F.round(F.least(F.lit(0.95), F.col("m.n") / F.greatest(F.col("total") * 0.6, F.lit(1))), 3)
+    return profiles.profile_updates(day.select("user_id", "at", F.lit("prefers").alias("name"), F.col("m.event_type").alias("value"), sure.alias("confidence")), 7.0)
+
+
 # --- prediction, differences, modalities ----------------------------------------------
 
 
