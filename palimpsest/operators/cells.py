@@ -25,6 +25,8 @@ from palimpsest.operators.shared import stored
 #: Rows of a block; bytes of the centres that all tasks hold.
 BLOCK = 2048
 CENTRE_BYTES = 8 << 20
+#: Rows whose visits are made at a time.
+VISITS = 128
 #: Angles and cosines are compared with this margin, far above rounding.
 MARGIN = 1e-7
 
@@ -41,7 +43,7 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _place(centres: dict[int, np.ndarray]):
-    """(id, key, size, small, vector, more) -> the same with cell and angle; vectors become units."""
+    """(id, key, size, small, vector, more) -> the same with cell and angle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,8 +56,7 @@ def _place(centres: dict[int, np.ndarray]):
                 near = angle[np.arange(len(x)), cell]
                 alone = rows.column(3).to_numpy(zero_copy_only=False)
                 cell[alone], near[alone] = 0, 0.0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(size)), pa.array(x.ravel()))
-                columns = [*(rows.column(i) for i in range(4)), lists, rows.column(5), pa.array(cell.astype(np.int32)), pa.array(near)]
+                columns = [*(rows.column(i) for i in range(6)), pa.array(cell.astype(np.int32)), pa.array(near)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "small", "vector", "more", "cell", "angle"])
 
     return run
@@ -68,15 +69,16 @@ def _visits(centres: dict[int, np.ndarray], radii: dict[tuple[int, int], float],
         for batch in batches:
             sizes = batch.column(2).to_numpy()
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                rows = batch.take(pa.array(at))
-                own = rows.column(5).to_numpy()
-                angle = _angles(rows.column(3).flatten().to_numpy().reshape(-1, int(size)), centres[int(size)])
-                radius = np.array([radii.get((int(size), c), -np.inf) for c in range(angle.shape[1])])
-                row, to = np.nonzero((angle - radius <= limit) & (np.arange(angle.shape[1]) > own[:, None]))
-                picked = rows.take(pa.array(row))
-                columns = [*(picked.column(i) for i in range(5)), pa.array(to.astype(np.int32)), pa.array(angle[row, to])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "vector", "more", "to", "reach"])
+                radius = np.array([radii.get((int(size), c), -np.inf) for c in range(len(centres[int(size)]))])
+                every = np.flatnonzero(sizes == size)
+                for first in range(0, len(every), VISITS):  # a row may visit many cells
+                    rows = batch.take(pa.array(every[first : first + VISITS]))
+                    own = rows.column(5).to_numpy()
+                    angle = _angles(units(rows.column(3), int(size)), centres[int(size)])
+                    row, to = np.nonzero((angle - radius <= limit) & (np.arange(len(radius)) > own[:, None]))
+                    picked = rows.take(pa.array(row))
+                    columns = [*(picked.column(i) for i in range(5)), pa.array(to.astype(np.int32)), pa.array(angle[row, to])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "vector", "more", "to", "reach"])
 
     return run
 
@@ -128,7 +130,7 @@ def _compare(least: float, most: int | None, bonus: float):
                 own = (
                     piece.column(5).to_numpy(zero_copy_only=False),
                     [more.field(k).to_numpy(zero_copy_only=False) for k in range(2)],
-                    piece.column(6).flatten().to_numpy().reshape(len(piece), -1),
+                    units(piece.column(6), int(marks[1][begin])),
                 )
                 if mark != block:
                     best += inner()
@@ -150,36 +152,46 @@ def _compare(least: float, most: int | None, bonus: float):
     return run
 
 
+def cells_a_block(least: float) -> int:
+    """Cells for each block that suit a threshold."""
+    return 4 if least >= 0.7 else 1
+
+
 class Cells:
-    """Vectors (id, vector and optionally ``by`` and two columns to compare) dealt to cells; null and zero vectors are left out."""
+    """Vectors (id, vector and optionally ``by`` and two columns to compare) dealt to cells; null and zero vectors are left out.
+
+    per_block: cells for each block of rows.  More cells prune more where the asked
+    similarity is high; where nothing can be pruned, a row visits them all.
+    """
 
-    def __init__(self, rows: DataFrame, by: str | None = None, more: tuple[str, str] | None = None, block: int = BLOCK):
+    def __init__(self, rows: DataFrame, by: str | None = None, more: tuple[str, str] | None = None, block: int = BLOCK, per_block: int = 1):
         self.block = block
-        spark = rows.sparkSession
         self.id_type = rows.schema["id"].dataType.simpleString()
         labels = F.struct(*(F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")).alias(n) for c, n in zip(more, ("x", "y")))) if more else F.struct(F.lit("").alias("x"), F.lit("").alias("y"))
         key = F.coalesce(F.to_json(F.struct(F.col(by).alias("k"))), F.lit("")) if by else F.lit("")
-        thin = rows.where("vector is not null").select("id", key.alias("key"), F.size("vector").alias("size"), F.col("vector").cast("array<double>").alias("vector"), labels.alias("more"))
+        # single precision stays so in shuffles; all arithmetic is double
+        kind = "array<float>" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+        thin = rows.where("vector is not null").select("id", key.alias("key"), F.size("vector").alias("size"), F.col("vector").cast(kind).alias("vector"), labels.alias("more"))
         thin = thin.where(F.exists("vector", lambda v: v != 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v)))
         keys = thin.groupBy("key", "size").agg(F.count("*").alias("n"))
         keys = stored(keys, "keys")
         large = keys.where(F.col("n") > block)
         total = keys.agg(F.sum("n")).first()[0] or 0
         sizes = [r.size for r in keys.select("size").distinct().collect()]
-        count = {s: max(1, min(math.ceil(math.sqrt(total)), CENTRE_BYTES // (8 * max(s, 1) * len(sizes)))) for s in sizes}
+        count = {s: max(1, min(math.ceil(math.sqrt(total)), per_block * math.ceil(total / block), CENTRE_BYTES // (8 * max(s, 1) * len(sizes)))) for s in sizes}
         # bounded: CENTRE_BYTES in all
         self.centres: dict[int, np.ndarray] = {}
         for s in sizes:
             chosen = thin.where(F.col("size") == s).orderBy(F.xxhash64("id"), "id").limit(count[s]).select("vector").toArrow()
             self.centres[s] = units(chosen["vector"].combine_chunks(), s)
-        shape = f"id {self.id_type}, key string, size int, small boolean, vector array<double>, more struct<x: string, y: string>, cell int, angle double"
+        shape = f"id {self.id_type}, key string, size int, small boolean, vector {kind}, more struct<x: string, y: string>, cell int, angle double"
         flagged = thin.join(large.select("key", "size", F.lit(False).alias("small")), ["key", "size"], "left")
         flagged = flagged.select("id", "key", "size", F.coalesce("small", F.lit(True)).alias("small"), "vector", "more")
         self.placed = stored(flagged.mapInArrow(_place(self.centres), shape), "placed")
         stats = self.placed.groupBy("key", "size", "small", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
         self.stats = stored(stats.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "cells")
         self.radii = {(r.size, r.cell): r.radius for r in self.stats.where("not small").groupBy("size", "cell").agg(F.max("radius").alias("radius")).collect()}
-        self.spark = spark
+        self.kind = kind
 
     def dealt(self, least: float) -> DataFrame:
         """Rows by block: members, and the visitors that may be similar by ``least``."""
@@ -191,7 +203,7 @@ class Cells:
         inside = here.where("blocks > salt + 1").withColumn("to", F.explode(F.sequence(F.col("salt") + 1, F.col("blocks") - 1)))
         inside = inside.select("key", "size", "cell", F.col("to").alias("salt"), F.lit(True).alias("visitor"), "id", "vector", "more")
         large = self.placed.where("not small").select("id", "key", "size", "vector", "more", "cell")
-        shape = f"id {self.id_type}, key string, size int, vector array<double>, more struct<x: string, y: string>, to int, reach double"
+        shape = f"id {self.id_type}, key string, size int, vector {self.kind}, more struct<x: string, y: string>, to int, reach double"
         away = large.mapInArrow(_visits(self.centres, self.radii, limit), shape)
         cells = self.stats.where("not small").select("key", "size", F.col("cell").alias("to"), "radius", "blocks")
         away = away.join(cells, ["key", "size", "to"]).where(F.col("reach") - F.col("radius") <= limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import space_tokens
 from palimpsest.functions.vector import cosine
-from palimpsest.operators.cells import Cells
+from palimpsest.operators.cells import Cells, cells_a_block
 from palimpsest.operators.folds import fold_sorted
 from palimpsest.operators.retrieval import first_n
 
@@ -126,7 +126,7 @@ def candidate_pairs(memories: DataFrame, least: float = 0.7, most: int = 50) ->
     compared cell by cell (see ``Cells``), and each task sends only its best ``most``.
     """
     rows = memories.select("id", "vector", F.array_sort(F.array_distinct("tags")).alias("tags"), "memory_type")
-    pairs = Cells(rows, more=("tags", "memory_type")).pairs(least, most, 0.05)
+    pairs = Cells(rows, more=("tags", "memory_type"), per_block=cells_a_block(least)).pairs(least, most, 0.05)
     return pairs.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(most)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import space_tokens
-from palimpsest.operators.cells import Cells
+from palimpsest.operators.cells import Cells, cells_a_block
 from palimpsest.operators.dedup import near_texts
 from palimpsest.operators.shared import stored
 
@@ -147,12 +147,12 @@ def greedy_groups(memories: DataFrame, least: float = 0.85, key: str = "user_id"
     vectors of a user are one node of the similarity join; a row then needs only the latest
     earlier row of each similar node, as groups of equal vectors never grow along the order.
     """
-    rows = memories.where("vector is not null").select(key, "id", "created_at", F.col("vector").cast("array<double>").alias("vector"))
+    rows = memories.where("vector is not null").select(key, "id", "created_at", "vector")
     rows = stored(_numbered(rows, [F.col(key), F.col("created_at"), F.col("id")]), "numbered")
     heads = rows.groupBy(F.col(key).alias("_key"), F.col("vector").alias("_vector")).agg(F.min("row").alias("head"))
     nodes = stored(rows.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("vector") == F.col("_vector"))).select("row", "head", key, "id"), "nodes")
     classes = rows.join(nodes.where("row = head").select("row"), "row", "left_semi").select(F.col("row").alias("id"), key, "vector")
-    near = Cells(classes, by=key).pairs(least)
+    near = Cells(classes, by=key, per_block=cells_a_block(least)).pairs(least)
     near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = near.unionByName(nodes.where("row != head").select(F.col("head").alias("a"), F.col("head").alias("b")).distinct())
     near = stored(near, "similar")
@@ -234,7 +234,7 @@ def seed_clusters(memories: DataFrame, least: float = 0.85, largest: int = 10, s
     own = [key] if key else []
     rows = memories.where("vector is not null").select(*own, "id", "created_at", "vector")
     rows = stored(_numbered(rows, [*(F.col(k) for k in own), F.col("created_at"), F.col("id")]), "numbered")
-    near = Cells(rows.select(F.col("row").alias("id"), *own, "vector"), by=key).pairs(least)
+    near = Cells(rows.select(F.col("row").alias("id"), *own, "vector"), by=key, per_block=cells_a_block(least)).pairs(least)
     edges = stored(near.select(F.col("b").alias("row"), F.col("a").alias("earlier"), F.lit(0).alias("value")), "edges")
     first = rows.join(edges.select("row").distinct(), "row", "left_anti").select("row", F.col("row").alias("seed"))
     found = ordered_rounds(edges, first, lambda: _Seeds(largest - 1), parts, _seed_counts)

@@ -49,7 +49,7 @@ def test_pruning(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))
     x = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.standard_normal((3000, 16))
-    made = cells.Cells(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>"), block=200)
+    made = cells.Cells(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>"), block=200, per_block=4)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = np.triu(u @ u.T >= 0.95, 1).sum()
     assert made.pairs(0.95).count() == want
