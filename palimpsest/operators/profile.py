@@ -1,39 +1,10 @@
-"""User profiles and drift."""
+"""User profiles and drift (A24, F02-F09, J11, J12, W13); inference from texts is in ``inference``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words that tell a user's intent, preferences and level.
-INTENTS = {"learning": ("learn", "study", "understand", "tutorial"), "problem_solving": ("error", "fix", "bug", "issue", "problem"), "planning": ("plan", "schedule", "todo", "goal"), "decision": ("choose", "decide", "compare", "versus")}
-LEVELS = {"expert": ("architecture", "optimize", "internals"), "advanced": ("performance", "scalable", "design"), "intermediate": ("implement", "configure", "integrate"), "beginner": ("how to", "what is", "basic")}
-
-
-def keyword_hits(texts: DataFrame, words: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(user_id, category, hits): occurrences of each category's words in a user's texts."""
-    rows = F.array(*(F.struct(F.lit(c).alias("category"), sum((F.regexp_count(F.lower("text"), F.lit(w)) for w in ws), F.lit(0)).alias("hits")) for c, ws in words.items()))
-    return texts.select("user_id", F.explode(rows).alias("r")).groupBy("user_id", "r.category").agg(F.sum("r.hits").alias("hits"))
-
-
-def intent(texts: DataFrame) -> DataFrame:
-    """The most frequent category, confidence min(.95, c / max(.5 total, 1)); informational at .3 without hits."""
-    hits = keyword_hits(texts, INTENTS)
-    best = hits.groupBy("user_id").agg(F.sum("hits").alias("total"), F.max(F.struct("hits", "category")).alias("b"))
-    sure = F.least(F.lit(0.95), F.col("b.hits") / F.greatest(0.5 * F.col("total"), F.lit(1)))
-    return best.select("user_id", F.when(F.col("b.hits") > 0, F.col("b.category")).otherwise("informational").alias("value"), F.when(F.col("b.hits") > 0, sure).otherwise(0.3).alias("confidence"))
-
-
-def level(texts: DataFrame) -> DataFrame:
-    """The user's level by the heaviest indicator words."""
-    h = keyword_hits(texts, LEVELS).groupBy("user_id").pivot("category", sorted(LEVELS)).agg(F.sum("hits"))
-    return h.select("user_id", F.when(F.col("expert") >= 2, "expert").when(F.col("advanced") >= 2, "advanced").when(F.col("intermediate") >= 1, "intermediate").otherwise("beginner").alias("level"))
-
-
-def style(texts: DataFrame) -> DataFrame:
-    """Mean length, share of questions."""
-    return texts.groupBy("user_id").agg(F.avg(F.length("text")).alias("mean_length"), F.avg(F.col("text").contains("?").cast("double")).alias("questions"), F.count("*").alias("n"))
-
 
 def actions(log: DataFrame) -> DataFrame:
     """Each user's actions as shares, and the most frequent one."""

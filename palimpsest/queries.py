@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
-from palimpsest.operators import dedup, diffs, entities, evaluate, graph, lifecycle, metrics, multimodal, ordered, prefetch, profile, retrieval
+from palimpsest.operators import dedup, diffs, entities, evaluate, graph, inference, lifecycle, metrics, multimodal, ordered, prefetch, profile, retrieval
 from palimpsest.plans import recall as recall_plan
 from palimpsest.plans import remember
 from palimpsest.sources import files, interchange, store
@@ -625,10 +625,84 @@ def a24_actions(spark, sf):
     return profile.actions(table(spark, sf, "events").select("user_id", F.col("event_type").alias("action"))).select("user_id", "action", F.round("share", 6).alias("share"))
 
 
-@query("SELECT source AS user_id, round(avg(length(text)), 6) AS mean_length, round(avg(contains(text, '?')::INT), 6) AS questions, count(*) AS n FROM documents GROUP BY 1")
+def _hits_sql(tables: dict[str, dict[str, list[str]]]) -> str:
+    """h: words of each memory by kind and category; b: their sums, ranked (n) within user and kind."""
+    rows = ", ".join(f"('{kind}', '{c}', {p}, {words})" for kind, t in tables.items() for p, (c, words) in enumerate(t.items()))
+    return (
+        MEMORIES
+        + f""", t(kind, category, place, words) AS (VALUES {rows}),
+ h AS (SELECT user_id, id, created_at, kind, category, place, list_filter(words, lambda w: contains(lower(content), w)) AS found, len(found) AS score FROM m, t WHERE score > 0),
+ c AS (SELECT user_id, kind, category, place, sum(score) AS hits, min((created_at, id)) AS first FROM h GROUP BY 1, 2, 3, 4),
+ b AS (SELECT *, sum(hits) OVER (PARTITION BY user_id, kind) AS total, row_number() OVER (PARTITION BY user_id, kind ORDER BY hits DESC, first, place) AS n FROM c),
+ """
+    )
+
+
+_LEVEL_SQL = """l AS (SELECT user_id, CASE WHEN e > 0 AND e >= a THEN 'expert' WHEN a > 0 AND a >= s THEN 'advanced' WHEN s > 0 THEN 'beginner' ELSE 'intermediate' END AS level
+ FROM (SELECT m.user_id, coalesce(sum(hits) FILTER (category = 'expert'), 0) AS e, coalesce(sum(hits) FILTER (category = 'advanced'), 0) AS a, coalesce(sum(hits) FILTER (category = 'beginner'), 0) AS s
+ FROM (SELECT DISTINCT user_id FROM m) m LEFT JOIN c ON c.user_id = m.user_id AND kind = 'level' GROUP BY 1))
+"""
+_PREFERENCE_SQL = """p AS (SELECT user_id, kind AS type, category AS value, round(least(0.95::DOUBLE, hits / greatest(total * 0.6::DOUBLE, 1)), 3) AS strength,
+ round(least(0.9::DOUBLE, 0.4::DOUBLE + least(0.95::DOUBLE, hits / greatest(total * 0.6::DOUBLE, 1)) * 0.5::DOUBLE), 3) AS confidence,
+ (SELECT array_to_string((list_sort(list(DISTINCT h.id)))[:5], ',') FROM h WHERE h.user_id = b.user_id AND h.kind = b.kind) AS evidence FROM b WHERE n = 1)
+"""
+
+
+def _ids(column: str) -> Column:
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@query(
+    _hits_sql({"intent": inference.INTENTS})
+    + """w AS (SELECT user_id, array_to_string(list_sort(list_distinct(flatten(list(found))))[:10], ',') AS keywords FROM h GROUP BY 1)
+ SELECT m.user_id, coalesce(category, 'informational') AS category, coalesce(keywords, '') AS keywords, coalesce(round(least(0.95::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3), 0.3::DOUBLE) AS confidence
+ FROM (SELECT DISTINCT user_id FROM m) m LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (user_id) LEFT JOIN w USING (user_id)"""
+)
+def a19_intents(spark, sf):
+    return inference.intents(memories(spark, sf)).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query(_hits_sql(inference.PREFERENCES) + _PREFERENCE_SQL + "SELECT * FROM p")
+def a20_preferences(spark, sf):
+    return inference.preferences(memories(spark, sf)).withColumn("evidence", _ids("evidence"))
+
+
+@query(
+    _hits_sql({"knowledge": inference.KNOWLEDGE, "level": inference.LEVELS})
+    + _LEVEL_SQL
+    + """SELECT b.user_id, category AS domain, round(least(0.85::DOUBLE, 0.4::DOUBLE + 0.1::DOUBLE * hits), 3) AS confidence, n AS rank, level,
+ (SELECT array_to_string((list_sort(list(DISTINCT h.id)))[:5], ',') FROM h WHERE h.user_id = b.user_id AND h.category = b.category) AS evidence FROM b JOIN l USING (user_id) WHERE kind = 'knowledge' AND n <= 5"""
+)
+def a21_knowledge(spark, sf):
+    return inference.knowledge(memories(spark, sf)).withColumn("evidence", _ids("evidence"))
+
+
+@query(
+    _hits_sql({"style": inference.STYLES})
+    + f"""f AS (SELECT user_id, count(*) AS n, sum(length(content)) / count(*) AS mean, sum(length(regexp_replace(content, '[^?？]', '', 'g'))) AS asked, sum(len(list_filter({inference.FOLLOWING}, lambda w: contains(lower(content), w)))) AS follows FROM m GROUP BY 1)
+ SELECT user_id, coalesce(category, 'conversational') AS communication, round(least(0.9::DOUBLE, 0.3::DOUBLE + asked / f.n * 0.3::DOUBLE), 3) AS initiative, CASE WHEN mean > 200 THEN 0.8::DOUBLE WHEN mean > 100 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS detail_level,
+ follows >= f.n * 0.1::DOUBLE AS follow_up, coalesce(round(least(0.9::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3), 0.3::DOUBLE) AS confidence FROM f LEFT JOIN (SELECT user_id, category, hits, total FROM b WHERE n = 1) b USING (user_id)"""
+)
 def a22_style(spark, sf):
-    rows = profile.style(table(spark, sf, "documents").select(F.col("source").alias("user_id"), "text"))
-    return rows.select("user_id", F.round("mean_length", 6).alias("mean_length"), F.round("questions", 6).alias("questions"), "n")
+    return inference.interaction(memories(spark, sf))
+
+
+@query(_hits_sql({"level": inference.LEVELS}) + _LEVEL_SQL + "SELECT * FROM l")
+def a23_levels(spark, sf):
+    return inference.levels(memories(spark, sf))
+
+
+@query(
+    _hits_sql(inference.PREFERENCES)
+    + _PREFERENCE_SQL
+    + f""", d AS (SELECT DISTINCT user_id, CASE user_id[-1:] WHEN '1' THEN 'mobile' WHEN '2' THEN 'cooking' ELSE 'devops' END AS field FROM m),
+ g AS (SELECT user_id, unnest(near) AS target FROM d JOIN (VALUES {", ".join(str((k, v)) for k, v in inference.NEAR_FIELDS.items())}) t(field, near) USING (field))
+ SELECT user_id, 'transferred_' || target || '_' || type AS name, value, strength, round(least(0.7::DOUBLE, confidence * 0.6::DOUBLE + 0.1::DOUBLE), 3) AS confidence FROM p JOIN g USING (user_id)"""
+)
+def f05_transferred(spark, sf):
+    m = memories(spark, sf)
+    field = F.when(F.col("user_id").endswith("1"), "mobile").when(F.col("user_id").endswith("2"), "cooking").otherwise("devops")
+    return inference.transferred(inference.preferences(m), m.select("user_id", field.alias("source_domain")).distinct())
 
 
 @query(
