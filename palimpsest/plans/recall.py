@@ -1,4 +1,4 @@
-"""Hybrid recall over batches of queries.
+"""Hybrid recall over batches of queries.
 
 queries: query_id, query, and optionally vector, user_id.  One plan answers all of them.
 """
@@ -82,6 +82,41 @@ def recall(
     return rows.select("query_id", "id", "score", "rank", explanation(F.col("score"), F.col("methods"), F.col("importance"), F.col("access_count")).alias("explanation"))
 
 
+def reinforced(memories: DataFrame, recalled: DataFrame, now: Column, boost: float = 0.05) -> DataFrame:
+    """The table after a recall (query_id, id): each result counts as an access and adds ``boost`` to importance.
+
+    Rows that are inactive by now were superseded since they were ranked and are left alone.  A row found
+    by several queries gains from each; importance stays within 1, and one beyond it is kept.
+    ``boost`` 0 counts accesses alone.
+    """
+    hits = recalled.groupBy("id").agg(F.count("*").alias("_hits"))
+    rows = memories.join(hits, "id", "left")
+    hit = F.col("_hits").isNotNull() & F.col("is_active")
+    made = {
+        "access_count": F.when(hit, F.coalesce("access_count", F.lit(0)) + F.col("_hits")).otherwise(F.col("access_count")),
+        "last_accessed": F.when(hit, now).otherwise(F.col("last_accessed")),
+        "importance": F.when(hit, F.greatest(F.col("importance"), F.least(F.lit(1.0), F.col("importance") + boost * F.col("_hits")))).otherwise(F.col("importance")),
+    }
+    return rows.withColumns(made).select(*memories.columns)
+
+
+def retrieval_records(queries: DataFrame, recalled: DataFrame, memories: DataFrame, now: Column, separator: str = "\n") -> DataFrame:
+    """One row of the access log for each query: record_id, timestamp, query_id, query, retrieved_ids, retrieved_scores, composed_context, feedback.
+
+    Ids, scores and texts are in the order of the ranks; rows that are inactive by now are not
+    recorded.  A query that found nothing has empty lists.  record_id is a hash of query and
+    time, so a replayed append can be told.  A query has ``limit`` of recall rows at most.
+    """
+    rows = recalled.join(memories.where("is_active").select("id", "content"), "id")
+    found = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "content"))).alias("r"))
+    each = lambda c, kind: F.coalesce(F.transform("r", lambda x: x[c].cast(kind)), F.array().cast(f"array<{kind}>"))
+    return queries.select("query_id", "query").join(found, "query_id", "left").select(
+        F.sha2(F.concat_ws("\n", F.col("query_id").cast("string"), F.coalesce("query", F.lit("")), F.unix_micros(now).cast("string")), 256).alias("record_id"),
+        now.alias("timestamp"), "query_id", "query", each("id", "string").alias("retrieved_ids"), each("score", "double").alias("retrieved_scores"),
+        F.array_join(each("content", "string"), separator).alias("composed_context"), F.lit("none").alias("feedback"),
+    )
+
+
 def expanded_queries(queries: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, n, query): the query itself first, then it with words replaced by synonyms, sorted."""
     rows = F.array(*(F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, s)).alias("by")) for w, s in SYNONYMS.items()))

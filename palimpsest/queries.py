@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, security, text, vector
-from palimpsest.operators import dedup, diffs, entities, evaluate, graph, inference, lifecycle, metrics, multimodal, ordered, prefetch, profile, retrieval
+from palimpsest.operators import dedup, diffs, entities, evaluate, graph, inference, lifecycle, metrics, multimodal, ordered, prefetch, profile, retrieval, writing
+from palimpsest.operators.shared import stored
 from palimpsest.plans import recall as recall_plan
-from palimpsest.plans import remember
+from palimpsest.plans import remember, rewriting
 from palimpsest.sources import files, interchange, store
 from palimpsest.streaming import events as streams
 from palimpsest.streaming import profiles, search
@@ -960,6 +961,137 @@ def d17_erasures(spark, sf):
     return lifecycle.erasures(requests, rows, policies)
 
 
+# --- writes and reruns, the access log, queries made from queries ---------------------
+
+
+_GROWING = MEMORIES + """, v AS (SELECT m.*, e.embedding::DOUBLE[] AS v FROM m JOIN embeddings e ON e.vec_id = m.id),
+ p AS (SELECT s.id AS sid, r.id, r.created_at, substring(r.content, 1, 200) AS text, round(list_cosine_similarity(s.v, r.v), 9) AS score FROM v s JOIN v r ON r.memory_type = s.memory_type
+ WHERE s.id % 50 = 0 AND r.id % 50 <> 0 AND r.is_active AND list_cosine_similarity(s.v, r.v) >= 0.1),
+ r1 AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, id) AS n FROM p WHERE created_at <= TIMESTAMP '2024-01-01 00:20:00' QUALIFY n <= 5),
+ r2 AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, id) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.sid = p.sid AND r1.id = p.id) QUALIFY n <= 5),
+ g1 AS (SELECT sid, array_to_string(list(id ORDER BY n), ',') AS ids, ' [Updated: ' || array_to_string(list(text ORDER BY n)[:3], ' | ') || ']' AS more FROM r1 GROUP BY 1),
+ g2 AS (SELECT sid, array_to_string(list(id ORDER BY n), ',') AS ids, ' [Updated: ' || array_to_string(list(text ORDER BY n)[:3], ' | ') || ']' AS more FROM r2 GROUP BY 1),
+ t1 AS (SELECT v.id AS sid, g1.ids, CASE WHEN more IS NULL THEN content WHEN length(content || more) > 2000 THEN substring(content || more, 1, 1997) || '...' ELSE content || more END AS text FROM v LEFT JOIN g1 ON g1.sid = v.id WHERE v.id % 50 = 0),
+ t2 AS (SELECT t1.sid, concat_ws(',', t1.ids, g2.ids) AS sources, CASE WHEN more IS NULL THEN text WHEN length(text || more) > 2000 THEN substring(text || more, 1, 1997) || '...' ELSE text || more END AS text FROM t1 LEFT JOIN g2 USING (sid))
+"""
+
+
+def _with_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return memories(spark, sf).join(e, "id")
+
+
+@query(_GROWING + "SELECT sid AS summary_id, sources, sha256(text) AS digest FROM t2")
+def c13_grown_summaries(spark, sf):
+    """Two runs in turn: over what was written in the first minutes, then over all."""
+    rows = _with_vectors(spark, sf).withColumn("user_id", F.col("memory_type"))
+    is_summary = F.col("id") % 50 == 0
+    rows = rows.withColumn("tags", F.when(is_summary, F.array_append("tags", F.lit("summary"))).otherwise(F.col("tags")))
+    summaries = rows.where(is_summary).select(F.col("id").alias("summary_id"), "user_id", "content", "embedding", F.array().cast("array<bigint>").alias("sources"), F.lit(None).cast("timestamp").alias("mark"))
+    early = rows.where(F.col("updated_at") <= F.lit("2024-01-01 00:20:00").cast("timestamp"))
+    for seen in (early, rows):
+        summaries = stored(writing.with_growth(summaries, writing.grown_summaries(summaries, seen, least=0.1, most=5)), "summaries")
+    return summaries.select("summary_id", _ids("sources"), F.sha2("content", 256).alias("digest"))
+
+
+@query(
+    MEMORIES
+    + """, v AS (SELECT m.*, e.embedding::DOUBLE[] AS v FROM m JOIN embeddings e ON e.vec_id = m.id),
+ b AS (SELECT n.id, o.id AS best, o.content, o.tags, o.importance, round(list_cosine_similarity(n.v, o.v), 9) AS score FROM v n JOIN v o ON n.id % 50 = 0 AND o.id % 50 <> 0 AND n.memory_type = o.memory_type QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY score DESC, o.id) = 1)
+ SELECT v.id, sha256(CASE WHEN score >= 0.25 THEN b.content || chr(10) || v.content ELSE v.content END) AS digest, array_to_string(CASE WHEN score >= 0.25 THEN b.tags || list_filter(v.tags, lambda t: NOT list_contains(b.tags, t)) ELSE v.tags END, ',') AS tags,
+ CASE WHEN score >= 0.25 THEN greatest(v.importance, b.importance) ELSE v.importance END AS importance, CASE WHEN score >= 0.25 THEN best::VARCHAR ELSE '' END AS supersedes FROM v LEFT JOIN b USING (id) WHERE v.id % 50 = 0"""
+)
+def c14_merged_writes(spark, sf):
+    rows = _with_vectors(spark, sf).withColumn("user_id", F.col("memory_type"))
+    new, old = rows.where("id % 50 = 0"), rows.where("id % 50 != 0")
+    merged = writing.merged_writes(new, old, least=0.25)
+    return merged.select("id", F.sha2("content", 256).alias("digest"), F.array_join("tags", ",").alias("tags"), "importance", F.array_join("supersedes", ",").alias("supersedes"))
+
+
+@query(
+    MEMORIES
+    + """, s AS (SELECT id, CASE WHEN id % 10 = 0 THEN id + 1 END AS superseded_by, CASE WHEN id % 10 = 1 THEN (id - 1)::VARCHAR ELSE '' END AS supersedes, id % 10 <> 0 AND is_active AS is_active FROM m),
+ a AS (SELECT doc_id AS id, bool_or(quality = 0) AS gone FROM labels GROUP BY 1)
+ SELECT id, CASE WHEN a.id IS NULL THEN superseded_by END AS superseded_by, CASE WHEN id IN (SELECT superseded_by FROM s JOIN a USING (id) WHERE NOT gone) THEN '' ELSE supersedes END AS supersedes, is_active OR a.id IS NOT NULL AS is_active
+ FROM s LEFT JOIN a USING (id) WHERE NOT coalesce(gone, false)"""
+)
+def c08_resolved_conflicts(spark, sf):
+    old = F.col("id") % 10 == 0
+    replaces = F.when(F.col("id") % 10 == 1, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>"))
+    rows = memories(spark, sf).select("id", F.when(old, F.col("id") + 1).alias("superseded_by"), replaces.alias("supersedes"), (~old & F.col("is_active")).alias("is_active"))
+    requests = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "delete").otherwise("reactivate").alias("action"))
+    return writing.resolved_conflicts(rows, requests).withColumn("supersedes", F.array_join("supersedes", ","))
+
+
+@query(
+    f"""WITH rc AS ({_recall_sql()}), h AS (SELECT id, count(*) AS hits FROM rc GROUP BY 1), a AS ({MEMORIES} SELECT * FROM m)
+ SELECT id, access_count + coalesce(hits, 0) AS access_count, round(least(1.0::DOUBLE, importance + 0.05::DOUBLE * coalesce(hits, 0)), 6) AS importance, hits IS NOT NULL OR last_accessed = TIMESTAMP '2024-02-01' AS just_used FROM a LEFT JOIN h USING (id)"""
+)
+def v18_reinforced(spark, sf):
+    q, m = _hybrid(spark, sf)
+    found = stored(recall_plan.recall(q, m, _now(), 10).select("query_id", "id"), "recalled")
+    return recall_plan.reinforced(m, found, _now()).select("id", "access_count", F.round("importance", 6).alias("importance"), (F.col("last_accessed") == _now()).alias("just_used"))
+
+
+@query(
+    f"""WITH rc AS ({_recall_sql()}), g AS (SELECT query_id, list(rc.id ORDER BY rank) AS ids, list(text ORDER BY rank) AS texts, round(max(score), 6) AS best FROM rc JOIN documents d ON d.doc_id = rc.id GROUP BY 1)
+ SELECT item_id AS query_id, coalesce(array_to_string(ids, ','), '') AS ids, best, sha256(coalesce(array_to_string(texts, chr(10)), '')) AS digest FROM benchmark LEFT JOIN g ON query_id = item_id"""
+)
+def h13_retrieval_records(spark, sf):
+    q, m = _hybrid(spark, sf)
+    found = stored(recall_plan.recall(q, m, _now(), 10).select("query_id", "id", "score", "rank"), "recalled")
+    log = recall_plan.retrieval_records(q, found, m, _now())
+    return log.select("query_id", F.array_join("retrieved_ids", ",").alias("ids"), F.round(F.array_max("retrieved_scores"), 6).alias("best"), F.sha2("composed_context", 256).alias("digest"))
+
+
+@query(
+    """WITH c AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS topics, max_by(event_type, event_id) AS recent FROM events GROUP BY 1),
+ q AS (SELECT p_partkey AS query_id, p_name AS query, p_partkey % 200 AS user_id FROM part),
+ a AS (SELECT query_id, ([query] || coalesce(list_transform(topics[:4], lambda t: query || ' ' || t), []) || CASE WHEN recent IS NULL THEN [] ELSE [query || ' (context: ' || recent || ')'] END)[:5] AS r FROM q LEFT JOIN c USING (user_id))
+ SELECT query_id, unnest(range(len(r))) AS n, unnest(r) AS query FROM a"""
+)
+def t34_enriched_queries(spark, sf):
+    queries = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"), (F.col("p_partkey") % 200).alias("user_id"))
+    context = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("topics"), F.array(F.max_by("event_type", "event_id")).alias("recent_queries"))
+    return rewriting.enriched_queries(queries, context)
+
+
+_ASKED = """SELECT p_partkey AS query_id, CASE p_partkey % 6 WHEN 0 THEN 'pros and cons of ' || p_name WHEN 1 THEN 'What is the difference between ' || p_name || ' and ' || p_brand WHEN 2 THEN 'how to ' || p_name || ' and ' || p_type
+ WHEN 3 THEN p_name || ' vs ' || p_brand || ' vs ' || p_name WHEN 4 THEN p_name ELSE 'Compare ' || p_brand || ' and ' || p_brand || ' AND ' || p_name END AS query FROM part"""
+
+
+@query(
+    f"""WITH q AS ({_ASKED}), t AS (SELECT *, lower(query) AS low, CASE WHEN contains(lower(query), ' and ') THEN ' and ' ELSE list_filter({rewriting.SPLITS}, lambda s: contains(lower(query), s))[1] END AS token FROM q),
+ a AS (SELECT query_id, [query] || CASE WHEN token IS NULL THEN [] ELSE list_filter(list_transform(string_split(low, token), lambda p: trim(p)), lambda p: p <> '' AND p <> query) END
+ || CASE WHEN starts_with(low, 'what is the difference between ') THEN list_transform(string_split(query[32:], ' and '), lambda i: 'what is ' || trim(i)) WHEN starts_with(low, 'pros and cons of ') THEN ['advantages of ' || trim(query[18:]), 'disadvantages of ' || trim(query[18:])]
+ WHEN starts_with(low, 'how to ') AND contains(low, ' and ') THEN list_transform(string_split(query[8:], ' and '), lambda i: 'how to ' || trim(i)) ELSE [] END AS r FROM t),
+ u AS (SELECT query_id, unnest(r) AS query, unnest(range(len(r))) AS i FROM a), f AS (SELECT query_id, arg_min(query, i) AS query, min(i) AS i FROM u GROUP BY query_id, lower(trim(query)))
+ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS n, query FROM f QUALIFY n < 5"""
+)
+def t35_decomposed_queries(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 6
+    asked = (
+        F.when(k == 0, F.concat(F.lit("pros and cons of "), "p_name")).when(k == 1, F.concat(F.lit("What is the difference between "), "p_name", F.lit(" and "), "p_brand"))
+        .when(k == 2, F.concat(F.lit("how to "), "p_name", F.lit(" and "), "p_type")).when(k == 3, F.concat("p_name", F.lit(" vs "), "p_brand", F.lit(" vs "), "p_name"))
+        .when(k == 4, F.col("p_name")).otherwise(F.concat(F.lit("Compare "), "p_brand", F.lit(" and "), "p_brand", F.lit(" AND "), "p_name"))
+    )
+    return rewriting.decomposed_queries(p.select(F.col("p_partkey").alias("query_id"), asked.alias("query")))
+
+
+@query(
+    _hits_sql({"intent": inference.INTENTS, **inference.PREFERENCES, "knowledge": inference.KNOWLEDGE})
+    + """r AS (SELECT b.user_id, kind, category, least(CASE kind WHEN 'intent' THEN 0.95 WHEN 'knowledge' THEN 0.85 ELSE 0.9 END::DOUBLE, CASE kind WHEN 'intent' THEN hits / greatest(total * 0.5::DOUBLE, 1) WHEN 'knowledge' THEN 0.4::DOUBLE + 0.1::DOUBLE * hits
+ ELSE 0.4::DOUBLE + 0.5::DOUBLE * least(0.95::DOUBLE, hits / greatest(total * 0.6::DOUBLE, 1)) END) AS conf, n FROM b WHERE n = 1 OR kind = 'knowledge' AND n <= 5),
+ k AS (SELECT * FROM r WHERE round(conf, 3) >= 0.6),
+ x AS (SELECT user_id, 0 AS a, 0 AS b, category || ' related topics' AS query FROM k WHERE kind = 'intent' UNION ALL SELECT user_id, 2, n, category || ' best practices' FROM k WHERE kind = 'knowledge'
+ UNION ALL SELECT user_id, 1, 2 * list_position(['technology', 'format', 'tone', 'depth', 'language'], kind) + g, category || CASE g WHEN 0 THEN ' tutorial' ELSE ' ' || kind || ' guide' END FROM k, (SELECT unnest([0, 1]) AS g) WHERE kind NOT IN ('intent', 'knowledge'))
+ SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY a, b) - 1)::INT AS n, query FROM x"""
+)
+def v22_predicted_queries(spark, sf):
+    m = memories(spark, sf)
+    return rewriting.predicted_queries(inference.intents(m), inference.preferences(m), inference.knowledge(m), least=0.6)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
