@@ -189,7 +189,7 @@ def interaction(memories: DataFrame) -> DataFrame:
         F.round(F.least(F.lit(0.9), F.lit(0.3) + F.col("asked") / F.col("n") * 0.3), 3).alias("initiative"),
         F.when(mean > 200, 0.8).when(mean > 100, 0.6).otherwise(0.4).alias("detail_level"),
         (F.col("follows") >= F.col("n") * 0.1).alias("follow_up"),
-        F.coalesce(F.round(sure, 3), F.lit(0.3)).alias("confidence"),
+        F.when(F.col("b").isNull(), 0.3).otherwise(F.round(sure, 3)).alias("confidence"),
     )
 
 

@@ -87,7 +87,7 @@ def reinforced(memories: DataFrame, recalled: DataFrame, now: Column, boost: flo
 
     Rows that are inactive by now were superseded since they were ranked and are left alone.  A row found
     by several queries gains from each; importance stays within 1, and one beyond it is kept.
-    ``boost`` 0 counts accesses alone.
+    ``boost`` 0 counts accesses alone; a null importance stays null.
     """
     hits = recalled.groupBy("id").agg(F.count("*").alias("_hits"))
     rows = memories.join(hits, "id", "left")
@@ -95,7 +95,7 @@ def reinforced(memories: DataFrame, recalled: DataFrame, now: Column, boost: flo
     made = {
         "access_count": F.when(hit, F.coalesce("access_count", F.lit(0)) + F.col("_hits")).otherwise(F.col("access_count")),
         "last_accessed": F.when(hit, now).otherwise(F.col("last_accessed")),
-        "importance": F.when(hit, F.greatest(F.col("importance"), F.least(F.lit(1.0), F.col("importance") + boost * F.col("_hits")))).otherwise(F.col("importance")),
+        "importance": F.when(hit & F.col("importance").isNotNull(), F.greatest(F.col("importance"), F.least(F.lit(1.0), F.col("importance") + boost * F.col("_hits")))).otherwise(F.col("importance")),
     }
     return rows.withColumns(made).select(*memories.columns)
 

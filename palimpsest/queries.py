@@ -656,7 +656,7 @@ def _ids(column: str) -> Column:
 @query(
     _hits_sql({"intent": inference.INTENTS})
     + """w AS (SELECT user_id, array_to_string(list_sort(list_distinct(flatten(list(found))))[:10], ',') AS keywords FROM h GROUP BY 1)
- SELECT m.user_id, coalesce(category, 'informational') AS category, coalesce(keywords, '') AS keywords, coalesce(round(least(0.95::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3), 0.3::DOUBLE) AS confidence
+ SELECT m.user_id, coalesce(category, 'informational') AS category, coalesce(keywords, '') AS keywords, CASE WHEN hits IS NULL THEN 0.3::DOUBLE ELSE round(least(0.95::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3) END AS confidence
  FROM (SELECT DISTINCT user_id FROM m) m LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (user_id) LEFT JOIN w USING (user_id)"""
 )
 def a19_intents(spark, sf):
@@ -682,7 +682,7 @@ def a21_knowledge(spark, sf):
     _hits_sql({"style": inference.STYLES})
     + f"""f AS (SELECT user_id, count(*) AS n, sum(length(content)) / count(*) AS mean, sum(length(regexp_replace(content, '[^?？]', '', 'g'))) AS asked, sum(len(list_filter({inference.FOLLOWING}, lambda w: contains(lower(content), w)))) AS follows FROM m GROUP BY 1)
  SELECT user_id, coalesce(category, 'conversational') AS communication, round(least(0.9::DOUBLE, 0.3::DOUBLE + asked / f.n * 0.3::DOUBLE), 3) AS initiative, CASE WHEN mean > 200 THEN 0.8::DOUBLE WHEN mean > 100 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS detail_level,
- follows >= f.n * 0.1::DOUBLE AS follow_up, coalesce(round(least(0.9::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3), 0.3::DOUBLE) AS confidence FROM f LEFT JOIN (SELECT user_id, category, hits, total FROM b WHERE n = 1) b USING (user_id)"""
+ follows >= f.n * 0.1::DOUBLE AS follow_up, CASE WHEN hits IS NULL THEN 0.3::DOUBLE ELSE round(least(0.9::DOUBLE, hits / greatest(total * 0.5::DOUBLE, 1)), 3) END AS confidence FROM f LEFT JOIN (SELECT user_id, category, hits, total FROM b WHERE n = 1) b USING (user_id)"""
 )
 def a22_style(spark, sf):
     return inference.interaction(memories(spark, sf))
@@ -1012,7 +1012,7 @@ def c14_merged_writes(spark, sf):
     MEMORIES
     + """, s AS (SELECT id, CASE WHEN id % 10 = 0 THEN id + 1 END AS superseded_by, CASE WHEN id % 10 = 1 THEN (id - 1)::VARCHAR ELSE '' END AS supersedes, id % 10 <> 0 AND is_active AS is_active FROM m),
  a AS (SELECT doc_id AS id, bool_or(quality = 0) AS gone FROM labels GROUP BY 1)
- SELECT id, CASE WHEN a.id IS NULL THEN superseded_by END AS superseded_by, CASE WHEN id IN (SELECT superseded_by FROM s JOIN a USING (id) WHERE NOT gone) THEN '' ELSE supersedes END AS supersedes, is_active OR a.id IS NOT NULL AS is_active
+ SELECT id, coalesce(CASE WHEN a.id IS NULL THEN superseded_by END, -1) AS superseded_by, CASE WHEN id IN (SELECT superseded_by FROM s JOIN a USING (id) WHERE NOT gone) THEN '' ELSE supersedes END AS supersedes, is_active OR a.id IS NOT NULL AS is_active
  FROM s LEFT JOIN a USING (id) WHERE NOT coalesce(gone, false)"""
 )
 def c08_resolved_conflicts(spark, sf):
@@ -1020,7 +1020,7 @@ def c08_resolved_conflicts(spark, sf):
     replaces = F.when(F.col("id") % 10 == 1, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>"))
     rows = memories(spark, sf).select("id", F.when(old, F.col("id") + 1).alias("superseded_by"), replaces.alias("supersedes"), (~old & F.col("is_active")).alias("is_active"))
     requests = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "delete").otherwise("reactivate").alias("action"))
-    return writing.resolved_conflicts(rows, requests).withColumn("supersedes", F.array_join("supersedes", ","))
+    return writing.resolved_conflicts(rows, requests).withColumns({"superseded_by": F.coalesce("superseded_by", F.lit(-1)), "supersedes": F.array_join("supersedes", ",")})
 
 
 @query(
