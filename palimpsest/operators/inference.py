@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.shared import stored
+
 # Words of each category, in the order that breaks ties.
 INTENTS = {
     "informational": ["what", "how", "why", "explain", "tell me", "information", "了解", "什么是", "怎么", "为什么", "解释"],
@@ -71,23 +73,34 @@ NEAR_FIELDS = {
 }
 
 
+TABLES = {"intent": INTENTS, **PREFERENCES, "knowledge": KNOWLEDGE, "level": LEVELS, "style": STYLES}
+
+
 def _words_in(low: Column, words: list[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), w) for w in words)))
 
 
-def category_hits(memories: DataFrame, tables: dict[str, dict[str, list[str]]]) -> DataFrame:
-    """(user_id, at, kind, found): for each memory and kind, the categories of which it has a word.
+def category_hits(memories: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(user_id, at, kind, found): for each memory and kind of TABLES, the categories of which it has a word.
 
-    at: (created_at, id); found: structs of category, place in the table, words.
+    at: (created_at, id); found: structs of category, place in the table, words.  Written once, as
+    texts are read in one pass for all ``kinds`` (default: all) and every inference takes it as ``hits``.
     """
     low = memories.select("user_id", F.struct("created_at", "id").alias("at"), F.lower("content").alias("low"))
+    wanted = list(kinds or TABLES)
+    sets = low.select("user_id", "at", *(F.array(*(_words_in(F.col("low"), w) for w in TABLES[k].values())).alias(f"_{k}") for k in wanted))
 
     def kind_of(kind: str) -> Column:
-        rows = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(p).alias("place"), _words_in(F.col("low"), w).alias("words")) for p, (c, w) in enumerate(tables[kind].items())))
+        names = F.array(*map(F.lit, TABLES[kind]))
+        rows = F.transform(F.col(f"_{kind}"), lambda w, i: F.struct(F.get(names, i).alias("category"), i.alias("place"), w.alias("words")))
         return F.struct(F.lit(kind).alias("kind"), F.filter(rows, lambda r: F.size(r["words"]) > 0).alias("found"))
 
-    kinds = F.filter(F.array(*map(kind_of, tables)), lambda k: F.size(k["found"]) > 0)
-    return low.select("user_id", "at", F.explode(kinds).alias("k")).select("user_id", "at", "k.kind", "k.found")
+    rows = sets.select("user_id", "at", F.explode(F.array(*map(kind_of, wanted))).alias("k")).where(F.size("k.found") > 0)
+    return stored(rows.select("user_id", "at", "k.kind", "k.found"), "hits")
+
+
+def _of(memories: DataFrame, hits: DataFrame | None, kinds: list[str]) -> DataFrame:
+    return (category_hits(memories, kinds) if hits is None else hits).where(F.col("kind").isin(kinds))
 
 
 def _counted(hits: DataFrame) -> DataFrame:
@@ -108,13 +121,13 @@ def _users(memories: DataFrame) -> DataFrame:
     return memories.select("user_id").distinct()
 
 
-def intents(memories: DataFrame) -> DataFrame:
+def intents(memories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """user_id, category, keywords (the first ten in order), confidence.
 
     The category of most hits, sure by hits / max(half of all, 1), at most 0.95; without a hit
     informational, 0.3.  A null user_id is a user like another.
     """
-    c = _counted(category_hits(memories, {"intent": INTENTS}))
+    c = _counted(_of(memories, hits, ["intent"]))
     best = c.groupBy("user_id").agg(
         F.min(F.struct("order", "category", "hits")).alias("b"), F.sum("hits").alias("total"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words")
     )
@@ -126,13 +139,13 @@ def intents(memories: DataFrame) -> DataFrame:
     )
 
 
-def preferences(memories: DataFrame) -> DataFrame:
+def preferences(memories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """user_id, type, value, strength, confidence, evidence, for each type with a hit.
 
     strength min(.95, hits / max(.6 total, 1)), confidence min(.9, .4 + .5 strength); evidence
     are the five smallest ids of memories with a word of the type.
     """
-    hits = category_hits(memories, PREFERENCES)
+    hits = _of(memories, hits, list(PREFERENCES))
     best = _counted(hits).groupBy("user_id", "kind").agg(F.min(F.struct("order", "category", "hits")).alias("b"), F.sum("hits").alias("total"))
     strength = F.least(F.lit(0.95), F.col("b.hits") / F.greatest(F.col("total") * 0.6, F.lit(1.0)))
     sure = F.least(F.lit(0.9), F.lit(0.4) + strength * 0.5)
@@ -141,9 +154,9 @@ def preferences(memories: DataFrame) -> DataFrame:
     return rows.join(seen, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("type") == F.col("_t"))).drop("_u", "_t")
 
 
-def levels(memories: DataFrame) -> DataFrame:
+def levels(memories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """user_id, level, for all users: expert if its words are there and as many as advanced ones, then advanced against beginner, then beginner, else intermediate."""
-    c = _counted(category_hits(memories, {"level": LEVELS})).groupBy("user_id").pivot("category", list(LEVELS)).agg(F.sum("hits"))
+    c = _counted(_of(memories, hits, ["level"])).groupBy("user_id").pivot("category", list(LEVELS)).agg(F.sum("hits"))
     found = c.select(F.col("user_id").alias("u"), *(F.coalesce(k, F.lit(0)).alias(k) for k in LEVELS))
     level = (
         F.when((F.col("expert") > 0) & (F.col("expert") >= F.col("advanced")), "expert")
@@ -154,20 +167,21 @@ def levels(memories: DataFrame) -> DataFrame:
     return _users(memories).join(found, F.col("user_id").eqNullSafe(F.col("u")), "left").select("user_id", level.alias("level"))
 
 
-def knowledge(memories: DataFrame) -> DataFrame:
+def knowledge(memories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """user_id, domain, level, confidence min(.85, .4 + .1 hits), evidence, rank: the five fields of most hits."""
-    hits = category_hits(memories, {"knowledge": KNOWLEDGE})
+    both = _of(memories, hits, ["knowledge", "level"])
+    hits = both.where("kind = 'knowledge'")
     w = Window.partitionBy("user_id").orderBy("order")
     top = _counted(hits).withColumn("rank", F.row_number().over(w)).where("rank <= 5")  # six rows a user at most
     rows = top.select("user_id", F.col("category").alias("domain"), F.round(F.least(F.lit(0.85), F.lit(0.4) + F.col("hits") * 0.1), 3).alias("confidence"), "rank")
     each = hits.select("user_id", "at.id", F.explode("found.category").alias("domain"))
     seen = _evidence(each, ["user_id", "domain"]).withColumnsRenamed({"user_id": "_u", "domain": "_d"})
     rows = rows.join(seen, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("domain") == F.col("_d"))).drop("_u", "_d")
-    level = levels(memories).withColumnRenamed("user_id", "_u")
+    level = levels(memories, both).withColumnRenamed("user_id", "_u")
     return rows.join(level, F.col("user_id").eqNullSafe(F.col("_u"))).drop("_u")
 
 
-def interaction(memories: DataFrame) -> DataFrame:
+def interaction(memories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """user_id, communication, initiative, detail_level, follow_up, confidence.
 
     detail_level .8, .6 or .4 by mean length over 200, over 100, else; initiative grows with
@@ -178,7 +192,7 @@ def interaction(memories: DataFrame) -> DataFrame:
     facts = memories.groupBy("user_id").agg(
         F.count("*").alias("n"), F.sum(F.length(text)).alias("length"), F.sum(F.regexp_count(text, F.lit("[?？]"))).alias("asked"), F.sum(F.size(_words_in(F.lower(text), FOLLOWING))).alias("follows")
     )
-    c = _counted(category_hits(memories, {"style": STYLES}))
+    c = _counted(_of(memories, hits, ["style"]))
     best = c.groupBy(F.col("user_id").alias("u")).agg(F.min(F.struct("order", "category", "hits")).alias("b"), F.sum("hits").alias("total"))
     rows = facts.join(best, F.col("user_id").eqNullSafe(F.col("u")), "left")
     mean = F.col("length") / F.col("n")

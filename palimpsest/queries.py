@@ -1089,7 +1089,8 @@ def t35_decomposed_queries(spark, sf):
 )
 def v22_predicted_queries(spark, sf):
     m = memories(spark, sf)
-    return rewriting.predicted_queries(inference.intents(m), inference.preferences(m), inference.knowledge(m), least=0.6)
+    hits = inference.category_hits(m)
+    return rewriting.predicted_queries(inference.intents(m, hits), inference.preferences(m, hits), inference.knowledge(m, hits), least=0.6)
 
 
 def queries() -> dict[str, Query]:
