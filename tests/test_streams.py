@@ -121,3 +121,29 @@ def test_search_stream(spark, tmp_path):
     run()
     got = [(r.query_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("rows_a_batch", [7, 10_000])
+def test_first_of_windows(spark, rows_a_batch):
+    """A limit takes the same first texts as all pairs, without making the pairs: ties, repeats, nulls, windows over many cells."""
+    draw = random.Random(5)
+    at = lambda: BEGIN + timedelta(seconds=draw.randrange(0, 2000), microseconds=draw.choice([0, 1]))
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [(draw.choice([None, *range(80)]), at() if draw.random() < 0.97 else None, " ".join(draw.sample(words, 2))) for _ in range(400)]
+    texts += texts[:40]
+    asked = [(draw.choice([None, *"abcdefghijklmnop"]), at(), " ".join(draw.sample([*words, "none"], 2))) for _ in range(60)]
+    docs = spark.createDataFrame(texts, "id long, ts timestamp, text string")
+    queries = spark.createDataFrame(asked, "query_id string, ts timestamp, query string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, rows_a_batch)
+    try:
+        for width, span in (("60 seconds", 60), ("1 day", 86400), ("0 seconds", 0)):
+            found = search.window_search(docs, queries, width, limit=3)
+            assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (span == 0)
+            want = []
+            for q in {a[0] for a in asked}:
+                pairs = {(i, t, s) for n, s, query in asked if n == q for i, t, text in texts if t and s - timedelta(seconds=span) <= t <= s and set(text.split()) & set(query.split())}
+                want += [(q, p[0]) for p in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1]))[:3]]
+            assert sorted(((r.query_id, r.id) for r in found.collect()), key=repr) == sorted(want, key=repr), width
+    finally:
+        spark.conf.unset(key)
