@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.folds import fold_sorted
+from palimpsest.operators.shared import stored
 
 # Bounds of the latency histogram.
 BOUNDS = (1, 5, 10, 25, 50, 75, 100, 150, 200, 500, 1000)
@@ -28,10 +30,27 @@ def feedback_counts(log: DataFrame, domain: list[str]) -> DataFrame:
     return values.join(got, "feedback", "left").select("feedback", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ms", F.lit(0.0)).alias("mean_ms"))
 
 
-def ranked_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rows with ``_i`` (0-based position of the value in its group) and ``_n`` (the group's size)."""
-    w = Window.partitionBy(*by)
-    return rows.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+def values_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by and, for each name, the value at a 0-based place of its group's sorted values; a place is a function of their number.
+
+    Equal values of a group are counted first; the different ones are dealt by ranges and
+    counted on from range to range, so a large group is sorted and counted by many tasks.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    keys = [f"_by{k}" for k in range(len(by))]
+    dealt = stored(counted.repartitionByRange(*keys, "_value").withColumn("_part", F.spark_partition_id()), "counted")
+    # a row for each group of each range
+    sizes, order = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size")), Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_total": F.sum("_size").over(order), "_base": F.coalesce(F.sum("_size").over(order.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("_part").alias("__part"), "_base", "_total")
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("_part") == F.col("__part")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = dealt.withColumn("_run", run).join(sizes, same).withColumn("_end", F.col("_base") + F.col("_run"))
+    at = lambda place: F.max(F.when((place >= F.col("_end") - F.col("_n")) & (place < F.col("_end")), F.col("_value")))
+    found = found.groupBy(*keys).agg(*(at(f(F.col("_total"))).alias(a) for a, f in places.items()))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), *places)
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -42,21 +61,32 @@ def nearest_rank(value: str, p: float) -> Column:
 def floor_rank_percentiles(rows: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Count, sum, least, most, mean and value[floor(p n)] for each p.
 
-    The value is picked by position with a conditional aggregate; nothing is collected.
+    The values are picked by position, see ``values_at``; nothing is collected.
     """
-    w = ranked_values(rows, by, value)
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
-    return w.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *(at(p).alias(a) for a, p in ps.items())
+    at = lambda p: lambda n: F.least(F.floor(n * p), n - 1)
+    found = values_at(rows, by, value, {a: at(p) for a, p in ps.items()})
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean")
     )
+    return _beside(sums, found, by)
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of two tables with the same groups side by side; a null group is one, too."""
+    own, same = right, F.lit(True)
+    for c in by:
+        own = own.withColumnRenamed(c, f"_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(own, same).drop(*(f"_{c}" for c in by))
 
 
 def operation_stats(log: DataFrame) -> DataFrame:
     """Log (op, success, elapsed): counts, and mean and value[clamp(int(n p / 100) - 1)] of successful rows."""
     base = log.groupBy("op").agg(F.count_if("success").alias("n_ok"), F.count_if(~F.col("success")).alias("n_failed"))
-    w = ranked_values(log.where("success"), ["op"], "elapsed")
-    at = lambda p: F.max(F.when(F.col("_i") == F.greatest(F.lit(0), F.floor(F.col("_n") * p / 100) - 1), F.col("elapsed")))
-    good = w.groupBy("op").agg(F.avg("elapsed").alias("mean"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"))
+    good = log.where("success and elapsed is not null")
+    at = lambda p: lambda n: F.greatest(F.lit(0), F.floor(n * p / 100) - 1)
+    found = values_at(good, ["op"], "elapsed", {f"p{p}": at(p) for p in (50, 95, 99)})
+    good = _beside(good.groupBy("op").agg(F.avg("elapsed").alias("mean")), found, ["op"])
     return base.join(good, "op", "left")
 
 
