@@ -80,13 +80,12 @@ def grown_summaries(summaries: DataFrame, memories: DataFrame, least: float = 0.
     rows = memories.where("is_active").where(~F.coalesce(F.array_contains("tags", "summary"), F.lit(False)))
     if low is not None:
         rows = rows.where(F.col("updated_at") > F.lit(low))
-    found = vector_matches(
-        known.select(F.col("summary_id").alias("query_id"), F.col("embedding").alias("vector"), "user_id"), rows.select("id", F.col("embedding").alias("vector"), "user_id"), None, least, by="user_id"
-    ).withColumnRenamed("query_id", "summary_id")
-    new = found.join(rows.select("id", "updated_at"), "id").join(known.select("summary_id", "mark"), "summary_id").where("mark is null or updated_at > mark")
+    # one more than is taken tells whether something is left over; sources may stand before them
+    wide = most + 1 + (summaries.agg(F.max(F.size("sources"))).head()[0] or 0)
+    asked = known.select(F.col("summary_id").alias("query_id"), F.col("embedding").alias("vector"), "user_id", F.col("mark").alias("updated_at"))
+    found = vector_matches(asked, rows.select("id", F.col("embedding").alias("vector"), "user_id", "updated_at"), wide, least, by="user_id", at="updated_at").withColumnRenamed("query_id", "summary_id")
     taken = summaries.select("summary_id", F.explode("sources").alias("id"))
-    new = new.join(taken, ["summary_id", "id"], "left_anti").select("summary_id", "id", F.round("score", 9).alias("score"))
-    # one more than is taken tells whether something is left over
+    new = found.where(F.col("score") >= least).join(taken, ["summary_id", "id"], "left_anti").select("summary_id", "id", F.round("score", 9).alias("score"))
     few = first_n(new, most + 1, ["summary_id"], F.desc("score"), F.col("id")).join(rows.select("id", F.substring("content", 1, 200).alias("text")), "id")
     row = F.struct("rank", "id", "text")
     gains = few.groupBy("summary_id").agg(F.array_sort(F.collect_list(row)).alias("_all")).withColumn("_new", F.slice("_all", 1, most))
