@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import frugal
 from palimpsest.llm.tokens import SLICE_BYTES, encoder
 from palimpsest.llm.wordhash import text_slices
 
@@ -61,7 +62,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: i
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pieces = thin.mapInArrow(_emit(tokenizer_path, max_tokens, end_id), PIECES)
+    pieces = thin.mapInArrow(frugal(_emit(tokenizer_path, max_tokens, end_id)), PIECES)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

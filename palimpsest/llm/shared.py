@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,32 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep though it is unused goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc only
+        trim(0)
+
+
+def freed(batches: Iterator) -> Iterator:
+    """The batches; unused memory is given back before each further one and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker keeps no unused memory: it waits beside the JVM and the workers of later steps."""
+
+    def frugally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(freed(batches))
+        give_back()
+
+    return frugally
+
+
 def fresh_name() -> str:
     """A column name that no table has."""
     return f"_{uuid.uuid4().hex}"

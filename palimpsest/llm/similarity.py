@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import flag_ids, fresh_name, written
+from palimpsest.llm.shared import flag_ids, fresh_name, frugal, written
 from palimpsest.llm.wordhash import mix64, text_slices, window_starts, windows, words
 
 #: Sets of up to TINY elements enumerate subsets; larger ones (and the few sizes that can
@@ -387,7 +387,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = 5, percent: int = 80)
     texts = flag_ids(docs, ids, "maybe").where("maybe")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(width, percent), "a long, b long, inter long, total long, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_jaccard(width, percent)), "a long, b long, inter long, total long, linked boolean")
 
 
 def _similar_sketches(l: str, r: str, percent: int) -> Column:
@@ -463,8 +463,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     real = thin.where("doc_id is not null")
-    signatures = real.mapInArrow(_emit_signatures(width, percent), SIG_SCHEMA).repartition("key").sortWithinPartitions("key")
-    found = written(signatures.mapInArrow(_find_buckets, FOUND_SCHEMA), "buckets")
+    signatures = real.mapInArrow(frugal(_emit_signatures(width, percent)), SIG_SCHEMA).repartition("key").sortWithinPartitions("key")
+    found = written(signatures.mapInArrow(frugal(_find_buckets), FOUND_SCHEMA), "buckets")
     sizes = found.where(f"kind = {SIZE}").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("room"), F.col("members").alias("words"))
     rooms = sizes.groupBy("doc").agg(F.min("room").alias("room"))
     stars = written(_stars(_shared_rows(found, rooms)), "stars")

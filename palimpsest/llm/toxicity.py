@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import freed, frugal, written
 
 # Look-alike letters, and digits or signs used for letters.
 HOMOGLYPHS = {
@@ -176,7 +176,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, le
     t0, t1, c0, c1 = (sizes.get(k, 0) for k in ((1, 0), (1, 1), (0, 0), (0, 1)))
     if not t0 + t1 or not c0 + c1:
         return Lexicon({})
-    counts = sample.mapInArrow(_count_entries, "entry string, c0 long, c1 long, t0 long, t1 long").groupBy("entry").agg(*(F.sum(x).alias(x) for x in ("c0", "c1", "t0", "t1")))
+    counts = sample.mapInArrow(frugal(_count_entries), "entry string, c0 long, c1 long, t0 long, t1 long").groupBy("entry").agg(*(F.sum(x).alias(x) for x in ("c0", "c1", "t0", "t1")))
     counts = counts.withColumns({"t": F.col("t0") + F.col("t1"), "c": F.col("c0") + F.col("c1")})
     odds = F.log((F.col("t") + 0.5) / (t0 + t1 + 1)) - F.log((F.col("c") + 0.5) / (c0 + c1 + 1))
     found = counts.where((F.col("t") >= least) & (odds >= floor)).toPandas()
@@ -188,7 +188,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, le
             xy = np.array([halves[h].measure(t) for t, h in zip(text, half, strict=True)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array(toxic, pa.int32())], names=["x", "y", "toxic"])
 
-    seen = sample.mapInArrow(points, "x double, y double, toxic int").toPandas()
+    seen = sample.mapInArrow(frugal(points), "x double, y double, toxic int").toPandas()
     curve = _logistic(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy(float))
     return Lexicon(_weigh(found, t0 + t1, c0 + c1, "t", "c", least, floor), curve=curve)
 
@@ -197,8 +197,9 @@ def toxicity(lexicon: Lexicon, text: str = "text") -> Column:
     """The score of a text column, 0 to 1; null and empty texts have the score of no match."""
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([lexicon.score(t or "") for t in texts], dtype="float64")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in freed(parts):
+            yield pd.Series([lexicon.score(t or "") for t in texts], dtype="float64")
 
     return score(F.col(text).cast("string"))
 
