@@ -79,12 +79,17 @@ def _inside(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.where("least.n > 0").select("a", F.col("least.gram").alias("gram")).join(rows, "gram").where(F.contains("b", "a")).select("a", "b")
 
 
+def _alike(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of alike_names, some of them twice, of stored tables a (a) and b (b) of distinct lower-case names."""
+    turned = _inside(b.select(F.col("b").alias("a")), a.select(F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return _within_edits(a, b).unionByName(_inside(a, b)).unionByName(turned)
+
+
 def alike_names(names: DataFrame, known: DataFrame) -> DataFrame:
     """T26 over two tables (name): distinct pairs (a, b) of lower-case names that are equal, one inside the other, or within two edits."""
     a = stored(names.where("name is not null").select(F.lower("name").alias("a")).distinct(), "names")
     b = stored(known.where("name is not null").select(F.lower("name").alias("b")).distinct(), "known")
-    turned = _inside(b.select(F.col("b").alias("a")), a.select(F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return _within_edits(a, b).unionByName(_inside(a, b)).unionByName(turned).distinct()
+    return _alike(a, b).distinct()
 
 
 def resolve_entities(names: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
@@ -100,12 +105,14 @@ def resolve_entities(names: DataFrame, known: DataFrame, least: float = 0.85) ->
     asked = stored(asked.withColumn("a", F.lower("name")), "asked")
     firsts = known.where("name is not null").groupBy(F.col("name").alias("known_name")).agg(F.min(F.struct("position", "id")).alias("at"), F.min_by("vector", F.struct("position", "id")).alias("known_vector"))
     firsts = stored(firsts.withColumn("b", F.lower("known_name")), "firsts")
-    pairs = alike_names(asked.select("name"), firsts.select(F.col("known_name").alias("name")))
-    rows = pairs.join(asked, "a").join(firsts, "b")
-    exact = F.when(F.col("a") == F.col("b"), F.col("at"))
-    near = F.when(F.round(cosine("vector", "known_vector"), 9) >= least, F.col("at"))
-    found = rows.groupBy("name").agg(F.min(exact).alias("exact"), F.min(near).alias("near"))
-    found = found.select("name", F.coalesce("exact", "near")["id"].alias("id"), F.col("exact").isNotNull().alias("exact"))
+    exact = asked.select("name", "a").join(firsts.select(F.col("b").alias("a"), "at"), "a").groupBy("name").agg(F.min("at").alias("at"))
+    exact = stored(exact, "exact")
+    # alike names are sought for what is left; vectors are met at the known name, so pairs travel without them
+    rest = stored(asked.join(exact, "name", "left_anti"), "rest")
+    known_names = stored(firsts.select("b").distinct(), "known")
+    rows = _alike(stored(rest.select("a").distinct(), "names"), known_names).join(firsts, "b").join(rest, "a")
+    near = rows.where(F.round(cosine("vector", "known_vector"), 9) >= least).groupBy("name").agg(F.min("at").alias("at"))
+    found = exact.select("name", F.col("at")["id"].alias("id"), F.lit(True).alias("exact")).unionByName(near.select("name", F.col("at")["id"].alias("id"), F.lit(False).alias("exact")))
     return asked.select("name").join(found, "name", "left").select("name", "id", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 

@@ -52,3 +52,27 @@ def test_resolve(spark):
     found = entities.resolve_entities(spark.createDataFrame(new, "name string, vector array<double>"), k)
     assert {r.name: (r.id, r.exact) for r in found.collect()} == {"ANNA LEE": ("k2", True), "Anna Le": ("k2", False), "Bart": ("k4", False), "Bret": (None, False), "Zoe": (None, False)}
     assert {r.id: r.aliases for r in entities.with_aliases(k, found).collect()} == {"k1": ["Ann"], "k2": ["ANNA LEE", "Anna Le"], "k3": [], "k4": ["Bart"], "k5": []}
+
+
+def test_known_names_are_not_compared(spark, monkeypatch):
+    """A name that is known as it is has no pairs made for it; what is found is that of all pairs."""
+    rng = random.Random(5)
+    known = list(dict.fromkeys(names(rng, 200, 16)))
+    new = list(dict.fromkeys([*names(rng, 150, 16), *rng.sample(known, 40), "A", "b"]))
+    vector = lambda x: [float(x.lower().count(c)) for c in "abcdé"]
+    seen, real = [], entities._within_edits
+    monkeypatch.setattr(entities, "_within_edits", lambda a, b: seen.extend(r.a for r in a.collect()) or real(a, b))
+    k = spark.createDataFrame([(n, x, vector(x), n) for n, x in enumerate(known)], "id long, name string, vector array<double>, position int")
+    got = {r.name: (r.id, r.exact) for r in entities.resolve_entities(spark.createDataFrame([(x, vector(x)) for x in new], "name string, vector array<double>"), k).collect()}
+    low = {x.lower() for x in known}
+    assert sorted(seen) == sorted({x.lower() for x in new} - low)
+
+    def cosine(x, y):
+        norm = (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+        return round(sum(p * q for p, q in zip(x, y, strict=True)) / norm, 9) if norm else 0.0
+
+    for x in new:
+        exact = [n for n, y in enumerate(known) if y.lower() == x.lower()]
+        near = [n for n, y in enumerate(known) if alike(x.lower(), y.lower()) and cosine(vector(x), vector(y)) >= 0.85]
+        assert got.pop(x) == (min(exact or near, default=None), bool(exact)), x
+    assert not got
